@@ -43,8 +43,8 @@ def check(spark, texts):
 
 def test_scan(spark):
     spans = check(spark, TEXTS)
-    assert spans[10].startswith("github:0:44") and "slack:45:" in spans[10]
-    assert spans[11] == "private_key:0:31"
+    assert spans[11].startswith("github:0:44") and "slack:45:" in spans[11]
+    assert spans[12] == "private_key:0:31"
 
 
 def test_random_texts(spark):

@@ -70,3 +70,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated_pairs
+
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
