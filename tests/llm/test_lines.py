@@ -119,5 +119,16 @@ def test_probes_find_every_edit():
         assert own & sent
 
 
+def test_keys_tell_lines_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    text = "\n".join("".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(200))
+    rows = list(L._entries(1)([pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])]))
+    entries = np.frombuffer(rows[0].column("entries")[0].as_py(), _runs.ENTRY)
+    assert len(np.unique(entries["key"])) == len(entries) == 200 * 12
+
+
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -35,6 +35,13 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n of an odd number, modulo 2 ** 64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 def segments(length: int | np.ndarray, edits: int = EDITS) -> list[tuple]:
     """Start and size of each of the edits + 1 segments of a line of that length."""
     parts = edits + 1
@@ -87,9 +94,9 @@ def _entries(buckets: int):
             start, length, name = start[long], length[long], name[long]
             if not len(name):
                 continue
-            up = np.cumprod(np.concatenate([[1], np.full(len(points), _BASE, np.uint64)]).astype(np.uint64))
-            down = np.cumprod(np.concatenate([[1], np.full(len(points), _INVERSE, np.uint64)]).astype(np.uint64))
-            prefix = np.concatenate([[0], np.cumsum((points + np.uint64(1)) * up[:-1])]).astype(np.uint64)
+            up, down = powers(_BASE, len(points)), powers(_INVERSE, len(points))
+            prefix = np.zeros(len(points) + 1, np.uint64)
+            np.cumsum((points + np.uint64(1)) * up[:-1], out=prefix[1:])
             keys, ids, sizes, roles = [], [], [], []
             for indexed, k, at, size, ok, own in probes(length):
                 a, n = (start + at)[ok], size[ok]
