@@ -91,3 +91,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
+
+
+@query("op6_repeated_bytes")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_bytes import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
