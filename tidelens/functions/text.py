@@ -15,6 +15,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text) -> Column:
     """Words and single punctuation marks."""
     return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -38,26 +43,31 @@ def content_words(text, stop_words: list[str] = STOP_WORDS, longer_than: int = 0
 
 
 def phrases(words: Column, least: int = 1, most: int = 3, keep: int = 20) -> Column:
-    """Runs of ``least`` to ``most`` words, by place and then size, of more than 3 characters; the first ``keep``."""
-    words = _col(words)
-    n = F.size(words)
-    sizes = F.sequence(F.lit(least), F.lit(most))
-    # ``keep`` runs need no more places than this: a place gives one run of more than 3 characters at least, but for short words.
-    places = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(sizes, lambda k: i + k <= n), lambda k: F.array_join(F.slice(words, i + 1, k), " "))))
-    return F.slice(F.filter(runs, lambda p: F.char_length(p) > 3), 1, keep)
+    """Runs of ``least`` to ``most`` words, by place and then size, of more than 3 characters; the first ``keep``.
+
+    Every place but the last gives a run of more than 3 characters, so no more words than these matter.
+    """
+
+    def of(own: Column) -> Column:
+        n = F.size(own)
+        places = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
+        runs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: i + k <= n), lambda k: F.array_join(F.slice(own, i + 1, k), " "))))
+        return F.slice(F.filter(runs, lambda p: F.char_length(p) > 3), 1, keep)
+
+    return let(F.slice(_col(words), 1, 2 * keep + most), of)
 
 
 def grams(words: Column, least: int = 1, most: int = 3) -> Column:
     """All runs of ``least`` to ``most`` words."""
-    words = _col(words)
-    n = F.size(words)
 
-    def of(k: int) -> Column:
-        places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, k), " "))
+    def of(own: Column) -> Column:
+        def sized(k: int) -> Column:
+            places = F.when(F.size(own) >= k, F.sequence(F.lit(0), F.size(own) - k)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.array_join(F.slice(own, i + 1, k), " "))
+
+        return F.concat(*(sized(k) for k in range(least, most + 1)))
 
-    return F.concat(*(of(k) for k in range(least, most + 1)))
+    return let(_col(words), of)
 
 
 def syllables(word) -> Column:

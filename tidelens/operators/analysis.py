@@ -45,8 +45,8 @@ def frequency_keywords(docs: DataFrame, top: int = 10, stop_words: list[str] = K
 
 def tfidf_keywords(docs: DataFrame, most: int = 100) -> DataFrame:
     """T5: the ``most`` frequent 1- to 3-grams of content words, l2-normalised within the document."""
-    words = X.content_words("text", longer_than=1)
-    grams = docs.select("document_id", F.explode(X.grams(words)).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("n"))
+    words = docs.select("document_id", X.content_words("text", longer_than=1).alias("words"))
+    grams = words.select("document_id", F.explode(X.grams("words")).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("n"))
     own = Window.partitionBy("document_id")
     kept = grams.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "term"))).where(F.col("rank") <= most)
     return kept.select("document_id", "term", "n", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(own))).alias("score"))
@@ -62,7 +62,8 @@ def corpus_tfidf(docs: DataFrame) -> DataFrame:
 
 def phrase_lists(docs: DataFrame, least: int = 1) -> DataFrame:
     """The first 20 phrases of each document."""
-    return docs.select("document_id", X.phrases(X.content_words("text"), least).alias("phrases"))
+    words = docs.select("document_id", X.content_words("text").alias("words"))  # a column of its own, so that lambdas do not compute it again
+    return words.select("document_id", X.phrases("words", least).alias("phrases"))
 
 
 def topics(docs: DataFrame, top: int = 5) -> DataFrame:

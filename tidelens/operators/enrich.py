@@ -56,8 +56,8 @@ def _class(*names: str) -> list[str]:
 
 def page_fields(pages: DataFrame) -> DataFrame:
     """Url, title, author, published_date, description, content, clean_text, word_count of stored pages (url, html)."""
-    h = F.coalesce(F.col("html"), F.lit(""))
-    body = F.regexp_replace(h, _NOISE, " ")
+    pages = pages.select("url", F.coalesce(F.col("html"), F.lit("")).alias("h")).withColumn("body", F.regexp_replace("h", _NOISE, " "))
+    h, body = F.col("h"), F.col("body")
     blocks = [r"(?is)<article[^>]*>(.*?)</article>", r'(?is)<(?:\w+)[^>]*role="main"[^>]*>(.*?)</', *_class("post-content", "article-content", "content", "entry-content", "post-body"), r"(?is)<main[^>]*>(.*?)</main>", r'(?is)<(?:\w+)[^>]*id="content"[^>]*>(.*?)</', *_class("container")]
     chain = F.when(F.lit(False), F.lit(""))
     for p in blocks:

@@ -106,14 +106,14 @@ _GRAMS = """g AS (SELECT a.doc_id, a.i, 1 AS k, a.term AS p FROM pos a UNION ALL
     UNION ALL SELECT a.doc_id, a.i, 3, a.term || ' ' || b.term || ' ' || c.term FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.i = a.i + 1 JOIN pos c ON a.doc_id = c.doc_id AND c.i = a.i + 2)"""
 
 
-@query("ngrams", ("pos",), f", {_GRAMS}, r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS at FROM g WHERE length(p) > 3) SELECT doc_id AS document_id, at, p AS phrase FROM r WHERE at <= 20")
+@query("ngrams", ("pos",), f", {_GRAMS}, r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS place FROM g WHERE length(p) > 3) SELECT doc_id AS document_id, place, p AS phrase FROM r WHERE place <= 20")
 def ngrams(spark, d):
-    return analysis.phrase_lists(B.documents(spark, d)).select("document_id", F.posexplode("phrases").alias("at", "phrase")).withColumn("at", F.col("at").cast("long") + 1)
+    return analysis.phrase_lists(B.documents(spark, d)).select("document_id", F.posexplode("phrases").alias("place", "phrase")).withColumn("place", F.col("place").cast("long") + 1)
 
 
 @query(
     "topics", ("pos",),
-    f", {_GRAMS}, r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS at FROM g WHERE length(p) > 3 AND k >= 2), c AS (SELECT doc_id, p, count(*) AS n, min(at) AS at FROM r WHERE at <= 20 GROUP BY doc_id, p), q AS (SELECT doc_id, p, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) AS rank FROM c) SELECT doc_id AS document_id, p AS topic, n, rank FROM q WHERE rank <= 5",
+    f", {_GRAMS}, r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pl FROM g WHERE length(p) > 3 AND k >= 2), c AS (SELECT doc_id, p, count(*) AS n, min(pl) AS pl FROM r WHERE pl <= 20 GROUP BY doc_id, p), q AS (SELECT doc_id, p, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pl) AS rank FROM c) SELECT doc_id AS document_id, p AS topic, n, rank FROM q WHERE rank <= 5",
 )
 def topics(spark, d):
     return _rounded(analysis.topics(B.documents(spark, d)))
@@ -219,7 +219,7 @@ def search_keywords(spark, d):
     return _rounded(search.search_keywords(B.keywords(spark, d), ["tion", "heen", "anea", "ciónde", "tiond"]))
 
 
-@query("search_all_terms", ("lw", "papers"), ", t AS (SELECT paper_id AS id, title, created_at AS published_date, source_type, lower(title || ' ' || abstract) AS x FROM papers), w AS (SELECT id, unnest(regexp_extract_all(x, '" + _WORD + "')) AS term FROM t) SELECT t.id, title, published_date, source_type FROM t JOIN (SELECT id FROM w WHERE term IN ('tion', 'erst') GROUP BY id HAVING count(DISTINCT term) = 2) h ON h.id = t.id ORDER BY published_date DESC, t.id LIMIT 100")
+@query("search_all_terms", ("papers",), "SELECT paper_id AS id, title, created_at AS published_date, source_type FROM papers WHERE list_contains(regexp_extract_all(lower(title || ' ' || abstract), '" + _WORD + "'), 'tion') AND list_contains(regexp_extract_all(lower(title || ' ' || abstract), '" + _WORD + "'), 'erst') ORDER BY published_date DESC, id LIMIT 100")
 def search_all_terms(spark, d):
     return search.search_all(B.contents(spark, d), "the tion erst").select("id", "title", "published_date", "source_type")
 
@@ -289,7 +289,7 @@ def paper_correlations(spark, d):
     return _rounded(correlate.paper_pairs(_elements(spark, d)).withColumn("shared", F.array_join("shared", "|")))
 
 
-@query("topic_clusters", ("kw",), ", c AS (SELECT keyword AS cluster, count(*) AS size FROM kw WHERE rank = 1 GROUP BY keyword HAVING count(*) >= 3), m AS (SELECT k.doc_id, c.cluster, c.size FROM kw k JOIN c ON c.cluster = k.keyword WHERE rank = 1), o AS (SELECT m.cluster, m.doc_id, kw.keyword FROM m JOIN kw ON kw.doc_id = m.doc_id), z AS (SELECT cluster, doc_id, count(*) AS k FROM o GROUP BY ALL), j AS (SELECT a.cluster, a.doc_id AS pa, b.doc_id AS pb, count(*) AS i FROM o a JOIN o b ON a.cluster = b.cluster AND a.keyword = b.keyword AND a.doc_id < b.doc_id GROUP BY ALL), t AS (SELECT j.cluster, sum(i / (za.k + zb.k - i)) AS s FROM j JOIN z za ON za.cluster = j.cluster AND za.doc_id = pa JOIN z zb ON zb.cluster = j.cluster AND zb.doc_id = pb GROUP BY j.cluster), ck AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, keyword) AS r FROM o GROUP BY ALL), rt AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY keyword) AS r FROM (SELECT DISTINCT cluster, keyword FROM o WHERE keyword <> cluster)) SELECT c.cluster, c.size, (SELECT string_agg(keyword, '|' ORDER BY r) FROM ck WHERE ck.cluster = c.cluster AND r <= 10) AS central_keywords, round(coalesce(t.s, 0) / (c.size * (c.size - 1) / 2), 6) AS coherence, (SELECT string_agg(keyword, '|' ORDER BY r) FROM rt WHERE rt.cluster = c.cluster AND r <= 5) AS related_topics FROM c LEFT JOIN t ON t.cluster = c.cluster")
+@query("topic_clusters", ("kw",), ", c AS (SELECT keyword AS cluster, count(*) AS size FROM kw WHERE rank = 1 GROUP BY keyword HAVING count(*) >= 3), m AS (SELECT k.doc_id, c.cluster, c.size FROM kw k JOIN c ON c.cluster = k.keyword WHERE rank = 1), o AS (SELECT m.cluster, m.doc_id, kw.keyword FROM m JOIN kw ON kw.doc_id = m.doc_id), z AS (SELECT cluster, doc_id, count(*) AS k FROM o GROUP BY ALL), j AS (SELECT a.cluster, a.doc_id AS pa, b.doc_id AS pb, count(*) AS i FROM o a JOIN o b ON a.cluster = b.cluster AND a.keyword = b.keyword AND a.doc_id < b.doc_id GROUP BY ALL), t AS (SELECT j.cluster, sum(i / (za.k + zb.k - i)) AS s FROM j JOIN z za ON za.cluster = j.cluster AND za.doc_id = pa JOIN z zb ON zb.cluster = j.cluster AND zb.doc_id = pb GROUP BY j.cluster), cn AS (SELECT cluster, keyword, count(*) AS n FROM o GROUP BY cluster, keyword), ck AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, keyword) AS r FROM cn), rt AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY keyword) AS r FROM cn WHERE keyword <> cluster), cs AS (SELECT cluster, string_agg(keyword, '|' ORDER BY r) AS s FROM ck WHERE r <= 10 GROUP BY cluster), rs AS (SELECT cluster, string_agg(keyword, '|' ORDER BY r) AS s FROM rt WHERE r <= 5 GROUP BY cluster) SELECT c.cluster, c.size, cs.s AS central_keywords, round(coalesce(t.s, 0) / (c.size * (c.size - 1) / 2), 6) AS coherence, rs.s AS related_topics FROM c LEFT JOIN t ON t.cluster = c.cluster LEFT JOIN cs ON cs.cluster = c.cluster LEFT JOIN rs ON rs.cluster = c.cluster")
 def topic_clusters(spark, d):
     k = B.keywords(spark, d).select(F.col("document_id").alias("paper_id"), "keyword", F.col("keyword").alias("topic"), "rank")
     out = correlate.topic_clusters(k.drop("keyword"), k.select("paper_id", "keyword"))
