@@ -22,7 +22,8 @@ def json_rows(spark: SparkSession, path: str, schema: str, time: str | None = No
     good, bad = rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null")
     if time:
         good = good.withColumn("created_at", F.timestamp_seconds(time))
-    return good, bad.select(F.lit(False).alias("success"), F.col("_corrupt").alias("raw_content"), F.lit("not readable").alias("error_message"))
+    first = rows.columns[0]  # the reader wants a data column asked for besides
+    return good, bad.select(F.lit(False).alias("success"), F.coalesce("_corrupt", F.col(first).cast("string")).alias("raw_content"), F.lit("not readable").alias("error_message"))
 
 
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +39,7 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def filing_index(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """S3: records of pipe-delimited daily indexes; lines before the header are no records."""
-    f = F.transform(F.split("value", r"\|"), F.trim)
+    f = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     rows = spark.read.text(path).select(f.alias("f")).where((F.size("f") >= 5) & F.col("f")[0].rlike(r"^\d+$"))
     out = rows.select(*(F.col("f")[k].alias(c) for k, c in enumerate(("cik", "company_name", "form_type", "filing_date", "filename"))))
     out = out if form is None else out.where(F.col("form_type") == form)
