@@ -24,14 +24,14 @@ RULES: list[tuple[str, str]] = [
     ("symbols", "n_words > 0 and 100 * n_symbols > 15 * n_words"),
     ("capitals", "n_words > 0 and 100 * n_upper_words > 30 * n_words"),
     ("exclamations", "n_words > 0 and 100 * n_exclaimed > 30 * n_words"),
-    ("repeated_lines", "n_lines > 3 and 100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_lines > 3 and 100 * n_dup_lines > 50 * n_lines"),
     ("long_words", "n_words > 0 and word_chars > 15 * n_words"),
-    ("few_distinct_words", "n_words >= 50 and 100 * n_distinct_words < 8 * n_words and n_words < 20000"),
+    ("few_distinct_words", "n_words between 20 and 400 and 100 * n_distinct_words < 30 * n_words"),
 ]
 #: Versioned policies: the rules that reject a document.
 POLICIES: dict[str, list[str]] = {
     "base": ["too_few_words", "repeated_windows"],
-    "v1": ["too_few_words", "repeated_windows", "symbols", "capitals", "exclamations", "repeated_lines", "long_words"],
+    "v1": ["too_few_words", "repeated_windows", "symbols", "capitals", "exclamations", "repeated_lines", "long_words", "few_distinct_words"],
 }
 
 
