@@ -18,12 +18,11 @@ ENTRY = "id string, title string, summary string, author array<struct<name:strin
 
 def json_rows(spark: SparkSession, path: str, schema: str, time: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed rows, and the rejected lines as they came; epoch seconds in ``time`` become ``created_at``."""
-    rows = spark.read.schema(schema + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    good, bad = rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null")
+    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    good, bad = parsed.where("r._corrupt is null").select("r.*").drop("_corrupt"), parsed.where("r._corrupt is not null")
     if time:
         good = good.withColumn("created_at", F.timestamp_seconds(time))
-    first = rows.columns[0]  # the reader wants a data column asked for besides
-    return good, bad.select(F.lit(False).alias("success"), F.coalesce("_corrupt", F.col(first).cast("string")).alias("raw_content"), F.lit("not readable").alias("error_message"))
+    return good, bad.select(F.lit(False).alias("success"), F.col("r._corrupt").alias("raw_content"), F.lit("not readable").alias("error_message"))
 
 
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
