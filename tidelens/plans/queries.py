@@ -11,7 +11,7 @@ from .. import bindings as B
 from .. import terms as K
 from ..functions import scalars as S
 from ..functions import text as X
-from ..operators import analysis, correlate, enrich, normalize, rubric, search, stats, synthesis, trends
+from ..operators import analysis, correlate, enrich, normalize, pages, rubric, search, stats, synthesis, trends
 from ..sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,3 +483,38 @@ def content_rows(spark, d):
 @query("summaries_by_length", ("papers",), "SELECT paper_id, CASE WHEN length(abstract) <= 200 THEN abstract WHEN strpos(reverse(substr(abstract, 1, 200)), '.') > 0 AND 200 - strpos(reverse(substr(abstract, 1, 200)), '.') > 100 THEN substr(abstract, 1, 201 - strpos(reverse(substr(abstract, 1, 200)), '.')) ELSE substr(abstract, 1, 200) || '...' END AS summary FROM papers")
 def summaries_by_length(spark, d):
     return B.papers(spark, d).select("paper_id", S.summary("abstract").alias("summary"))
+
+
+@query("analysis_report")
+def analysis_report(spark, d):
+    k = B.keywords(spark, d)
+    topics = k.select(F.col("document_id").alias("paper_id"), F.col("keyword").alias("topic"), "rank")
+    return _rounded(pages.analysis_report(B.mentions(spark, d), _elements(spark, d), topics, k, "2024-01-30"))
+
+
+@query("statistics_page")
+def statistics_page(spark, d):
+    docs = B.documents(spark, d)
+    a = analysis.counts(docs).join(analysis.readability(docs), "document_id").join(analysis.sentiment(docs), "document_id").withColumnRenamed("document_id", "paper_id").withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    return _rounded(pages.statistics_page(a, B.keywords(spark, d), entities(spark, d)))
+
+
+@query(
+    "batch_rollup", (),
+    "WITH w AS (SELECT DISTINCT event_type AS t, 'u' || (user_id % 20) AS k FROM events), r AS (SELECT t, k, row_number() OVER (PARTITION BY t ORDER BY k) AS i FROM w), l AS (SELECT t, string_agg(k, '|' ORDER BY k) AS s FROM r WHERE i <= 10 GROUP BY t) SELECT event_type AS task_type, count(*) AS tasks, CAST(sum(user_id) AS BIGINT) AS results, round(sum(value), 4) AS seconds, any_value(l.s) AS top_keywords FROM events JOIN l ON l.t = event_type GROUP BY event_type",
+)
+def batch_rollup(spark, d):
+    e = B.table(spark, d, "events").select(F.col("event_type").alias("task_type"), F.col("user_id").alias("results_count"), F.col("value").alias("duration_seconds"), F.array(F.concat(F.lit("u"), F.pmod("user_id", F.lit(20)).cast("string"))).alias("keywords"))
+    return _rounded(stats.batch_rollup(e).withColumn("top_keywords", F.array_join("top_keywords", "|")), 4)
+
+
+@query("category_counts", (), "SELECT unnest([lang, source]) AS category, count(*) AS n FROM documents GROUP BY category")
+def category_counts(spark, d):
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("collected_date"), F.array("lang", "source").alias("categories"))
+    return stats.category_counts(docs, None)
+
+
+@query("dashboard", (), "WITH n AS (SELECT lang, source FROM documents ORDER BY doc_id DESC LIMIT 20) SELECT 'source' AS section, source AS name, count(*) AS n FROM n GROUP BY source UNION ALL SELECT 'category', lang, count(*) FROM n GROUP BY lang")
+def dashboard(spark, d):
+    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_type"), F.col("doc_id").alias("collected_date"), F.array("lang").alias("categories"))
+    return stats.dashboard(docs)
