@@ -40,7 +40,6 @@ LENGTH, GRAM = 100, 32
 SIDE = LENGTH - GRAM  # bytes of a context on each side of its gram
 WIDTH = 2 * SIDE + GRAM
 BUCKET_BYTES = 400_000_000
-MOST_BROADCAST = 500_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 NO_ID = np.iinfo(np.int64).min
@@ -280,9 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     packed = "bucket int, gram binary, context binary, doc binary, at binary"
     found = written(texts.mapInArrow(_anchor_entries(buckets), packed).repartition(buckets, "bucket").mapInArrow(_anchor_buckets, FOUND), "anchors")
     asked = written(found.where("not covered").groupBy("doc_id").agg(F.collect_list("start").alias("ats"), F.collect_list("key").alias("keys")).withColumnRenamed("doc_id", "owner"), "asked-contexts")
-    size = asked.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
-    side = F.broadcast(asked) if size <= MOST_BROADCAST else asked
-    wanted = texts.join(side, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner")).select("doc_id", "text", "ats", "keys")
+    wanted = texts.join(asked, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner")).select("doc_id", "text", "ats", "keys")
     contexts = wanted.mapInArrow(_context_entries(buckets), "bucket int, " + ", ".join(f"{k} binary" for k in CONTEXT))
     more = written(contexts.repartition(buckets, "bucket").mapInArrow(_context_buckets, FOUND), "contexts")
     return found.where("covered").unionByName(more).select("doc_id", "start", "end")
