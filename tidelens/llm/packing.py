@@ -30,7 +30,7 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Most rounds; configurations in a round; a configuration's share of a count; how fast weights fall; the share that the program covers.
 ROUNDS, AT_ONCE, SHARE, RATE, COVER = 300, 24, 0.05, 0.3, 0.9
 #: Pieces in a chunk, about: ranks are counted within chunks, and chunk counts are summed.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 2_000
 
 
 def _pieces(vocabulary: str, end_id: int, capacity: int):
