@@ -2,7 +2,7 @@
 
 Entries travel as packed arrays, one row for a slice of documents and a bucket, so the shuffle moves
 bytes, not rows. A run is the entries of one key. Short runs give all their pairs at once. A long run
-first gives a star (every id with the run's leader); after those links are known, ``crossing`` gives the
+first gives stars (every id with the run's ``leaders``, up to three); after those links are known, ``crossing`` gives the
 pairs of long runs whose ids are not in one component yet, so a large group of copies costs a star.
 """
 
@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
+from ._text import mix
 
 #: A run up to this size gives all its pairs at once.
-SHORT = 24
+SHORT = 4
 #: Side of the blocks in which the pairs of a long run are formed.
-BLOCK = 1024
+BLOCK = 8192
 ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("size", "<u4"), ("role", "u1")])
 PACKED = "bucket int, entries binary"
 FOUND = "long boolean, key long, a long, b long, size int, role int"
@@ -42,7 +43,7 @@ def _batch(long, key, a, b, size, role) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["long", "key", "a", "b", "size", "role"])
 
 
-def _bucket(may_pair):
+def _bucket(may_pair, leaders: int):
     def run(batches):
         parts = [np.frombuffer(e, ENTRY) for batch in batches for e in batch.column("entries").to_pylist()]
         if not parts:
@@ -79,8 +80,10 @@ def _bucket(may_pair):
         long = np.flatnonzero(count > SHORT)
         for r in long.tolist():
             own = np.arange(start[r], start[r] + count[r])
-            leader = own[np.argmin(e["id"][own])]
-            pairs(np.full(len(own), leader), own)
+            # Leaders by orders that all runs share, so that a group's runs agree on them.
+            ids = e["id"][own]
+            for leader in {int(own[k]) for k in (ids.argmin(), ids.argmax(), mix(ids.astype(np.uint64)).argmin())[:leaders]}:
+                pairs(np.full(len(own), leader), own)
             yield _batch(True, e["key"][own], e["id"][own], e["id"][own], e["size"][own], e["role"][own])
         if seen:
             every = np.unique(np.concatenate(seen), axis=0)
@@ -92,12 +95,12 @@ def _bucket(may_pair):
     return run
 
 
-def runs(entries: DataFrame, buckets: int, may_pair) -> DataFrame:
+def runs(entries: DataFrame, buckets: int, may_pair, leaders: int = 1) -> DataFrame:
     """Pairs (long = false: a, b) and the entries of long runs (long = true: key, a, size, role) of packed entries.
 
     ``may_pair(entries, i, j)`` says for arrays of places which pairs can link at all.
     """
-    return entries.repartition(buckets, "bucket").mapInArrow(_bucket(may_pair), FOUND)
+    return entries.repartition(buckets, "bucket").mapInArrow(_bucket(may_pair, leaders), FOUND)
 
 
 def crossing(long: DataFrame, labels: DataFrame, extra: DataFrame | None = None) -> DataFrame:

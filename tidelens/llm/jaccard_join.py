@@ -33,7 +33,7 @@ from ._shared import written
 from ._text import ASCII_LOWER, mix, slices, span_hashes, text_buffer, windows, word_spans
 
 SHINGLE, PER_CENT = 5, 75
-GROUPS = 64
+GROUPS = 256
 #: A shingle that so many documents of a slice hold is reported; so many of the most reported are put last in the order.
 HEAVY_DOCS, HEAVY = 4, 50_000
 #: Entries in a bucket, about.
@@ -64,9 +64,21 @@ def class_id(shingles: np.ndarray) -> int:
         return int(mix(mix(both[:1]) + both[1:])[0].astype(np.int64))
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """Group counts of a set."""
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint32)
+def point(shingles: np.ndarray) -> bytes:
+    """Group counts of a set, in as few bytes each as they fit in."""
+    counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    most = counts.max()
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def points_of(column) -> np.ndarray:
+    """Packed points as rows of a matrix."""
+    rows = column.to_pylist()
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    wide = max(map(len, rows), default=GROUPS)
+    if all(len(r) == wide for r in rows):
+        return np.frombuffer(b"".join(rows), kinds[wide]).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(r, kinds[len(r)]) for r in rows], kinds[wide])
 
 
 def needed(m, n):
@@ -78,7 +90,7 @@ def _describe(batches):
     for batch in slices(batches):
         ids, sets = batch.column("doc_id"), shingle_sets(batch.column("text"))
         kinds = [class_id(s) if len(s) else None for s in sets]
-        points = [point(s).tobytes() for s in sets]
+        points = [point(s) for s in sets]
         out = pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(kinds, pa.int64()), pa.array(points, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "n_shingles", "class", "point", "heavy", "n"])
         yield out
         distinct = {k: s for k, s in zip(kinds, sets) if k is not None}
@@ -129,8 +141,8 @@ def may_pair(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (100 * np.minimum(m, n) >= PER_CENT * np.maximum(m, n)) & (few > 0)
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, allowed) -> np.ndarray:
-    """Pairs (i < j) of points that a count-vector R-tree cannot rule out.
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, allowed, asked: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (i < j) of points that a count-vector R-tree cannot rule out; with ``asked`` (a mask) those with an asked point.
 
     The tree is packed by sort-tile: by size, then by the coordinates of largest spread. A point searches
     it from the root: a box whose upper corner bounds the overlap below what its smallest size needs, or
@@ -146,19 +158,21 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, allowed) -> np.ndarray:
         up, low, high = levels[-1]
         at = np.arange(0, len(up), NODE)
         levels.append((np.maximum.reduceat(up, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
-    out = []
-    for begin in range(0, n, 256):
-        q = np.arange(begin, min(n, begin + 256))
+    out = [np.zeros((0, 2), np.int64)]
+    asking = np.ones(n, bool) if asked is None else asked[order]
+    places = np.flatnonzero(asking)
+    for begin in range(0, len(places), 256):
+        q = places[begin : begin + 256]
         top = len(levels) - 1
         qi, node = (x.ravel() for x in np.meshgrid(q, np.arange(len(levels[top][0])), indexing="ij"))
         for level in range(top, -1, -1):
             up, low, high = levels[level]
             size = sizes[order[qi]]
-            ok = (100 * np.minimum(size, high[node]) >= PER_CENT * np.maximum(size, low[node])) & (node >= (qi // NODE**level))
+            ok = (100 * np.minimum(size, high[node]) >= PER_CENT * np.maximum(size, low[node]))
             qi, node = qi[ok], node[ok]
             bound = np.empty(len(qi), np.int64)
             for k in range(0, len(qi), 50_000):
-                bound[k : k + 50_000] = np.minimum(levels[0][0][qi[k : k + 50_000]], up[node[k : k + 50_000]]).sum(1)
+                bound[k : k + 50_000] = np.minimum(levels[0][0][qi[k : k + 50_000]], up[node[k : k + 50_000]]).sum(1, dtype=np.int64)
             ok = bound >= needed(sizes[order[qi]], low[node])
             qi, node = qi[ok], node[ok]
             if level:
@@ -166,7 +180,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, allowed) -> np.ndarray:
                 child = (node[:, None] * NODE + np.arange(NODE)).ravel()
                 qi = np.repeat(qi, NODE)
                 qi, node = qi[child < below], child[child < below]
-        ok = node > qi
+        ok = (node > qi) | ~asking[node]  # a pair of two asked points once
         i, j = order[qi[ok]], order[node[ok]]
         good = allowed(i, j)
         out.append(np.stack([np.minimum(i, j)[good], np.maximum(i, j)[good]], 1))
@@ -178,7 +192,7 @@ def _block(table: pa.Table) -> pa.Table:
     ids, roots, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
     ids, keep = np.unique(ids, return_index=True)
     roots, block = roots[keep], block[keep]
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)[keep].astype(np.int64)
+    points = points_of(table.column("point"))[keep]
     sizes, roles = table.column("size").to_numpy()[keep].astype(np.int64), table.column("role").to_numpy()[keep]
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
 
@@ -186,16 +200,17 @@ def _block(table: pa.Table) -> pa.Table:
         few = np.where(sizes[i] < sizes[j], roles[i], np.where(sizes[j] < sizes[i], roles[j], np.minimum(roles[i], roles[j])))
         return (roots[i] != roots[j]) & (few > 0) & ((low == high) | (block[i] != block[j]))
 
-    found = tree_pairs(points, sizes, allowed)
+    # Points of the commonest component only meet points of others, so only the others ask.
+    values, counts = np.unique(roots, return_counts=True)
+    found = tree_pairs(points, sizes, allowed, roots != values[counts.argmax()])
     return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
 
 def _bounded(batches):
     """Pairs whose points allow the overlap that they need."""
     for batch in batches:
-        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-        p, q = p.astype(np.int64), q.astype(np.int64)
-        ok = np.minimum(p, q).sum(1) >= needed(p.sum(1), q.sum(1))
+        p, q = points_of(batch.column("point_a")), points_of(batch.column("point_b"))
+        ok = np.minimum(p, q).sum(1, dtype=np.int64) >= needed(p.sum(1, dtype=np.int64), q.sum(1, dtype=np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
 
@@ -248,7 +263,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum(F.col("size") / 4 + 1), F.lit(0)).cast("long")).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ENTRIES)
 
-    found = written(_runs.runs(texts.mapInArrow(_entries(values, rank, buckets), _runs.PACKED), buckets, may_pair), "runs")
+    found = written(_runs.runs(texts.mapInArrow(_entries(values, rank, buckets), _runs.PACKED), buckets, may_pair, leaders=3), "runs")
     side = lambda c: classes.select(F.col("class").alias(c), F.col("point").alias(f"point_{c}"))
     pairs = found.where("not long").select("a", "b").distinct()
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "point_a", "point_b").mapInArrow(_bounded, "a long, b long")
