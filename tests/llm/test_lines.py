@@ -119,6 +119,19 @@ def test_probes_find_every_edit():
         assert own & sent
 
 
+def test_edits_flip_few_sketch_bits():
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a = "".join(rng.choice("abé 漢") for _ in range(60))
+        b = edited(a, 2, rng)
+        both = (a + b).encode()
+        cut = len(a.encode())
+        bits = L.sketches(np.frombuffer(both, np.uint8), np.array([0, cut]), np.array([cut, len(both)]))
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= L.MOST_FLIPS
+
+
 def test_keys_tell_lines_apart():
     import numpy as np
     import pyarrow as pa

@@ -30,7 +30,6 @@ from ._text import mix, slices, span_hashes, text_buffer, word_spans
 
 EDITS, SHORTEST = 2, 36
 BUCKET_ENTRIES = 2_000_000
-MOST_BROADCAST = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -110,6 +109,35 @@ def _entries(buckets: int):
     return run
 
 
+def sketches(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """256 parity bits of each span's hashed three-byte grams. An edit of a code point changes few grams, so it flips few bits."""
+    out = np.zeros((len(starts), 4), np.uint64)
+    if len(buf) < 3 or not len(starts):
+        return out
+    code = buf[:-2].astype(np.uint64) | buf[1:-1].astype(np.uint64) << np.uint64(8) | buf[2:].astype(np.uint64) << np.uint64(16)
+    h = mix(code + np.uint64(_BASE))
+    bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(3)
+    for k in range(4):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)), out=total[1:])
+        last = np.maximum(starts, ends - 2)
+        out[:, k] = total[last] ^ total[starts]
+    return out
+
+
+#: Most bits that EDITS edits can flip: an edit removes and adds grams that hold one code point of up to four bytes.
+MOST_FLIPS = EDITS * 12
+
+
+def _sketched(batches):
+    for batch in slices(batches):
+        buf, ls, le, _, _, name = _lines_of(batch.column("text"))
+        _, keep = np.unique(name, return_index=True)
+        keep = keep[(le - ls)[keep] >= SHORTEST]
+        own = sketches(buf, ls[keep], le[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array([r.tobytes() for r in own], pa.binary())], names=["id", "sketch"])
+
+
 def may_pair(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """One of the two is indexed under the key, and it is not the longer."""
     m, n = e["size"][i].astype(np.int64), e["size"][j].astype(np.int64)
@@ -193,8 +221,7 @@ def _links(pairs: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = written(pairs, "line-pairs")
     asked = written(pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct().join(firsts.select("name", F.col("first.doc_id").alias("doc_id")), "name"), "asked")
     owners = asked.select(F.col("doc_id").alias("owner")).distinct()
-    owners = F.broadcast(owners) if asked.count() <= MOST_BROADCAST else owners
-    lines = texts.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(_named_lines, "name long, line_text string")
+    lines = texts.join(owners.hint("merge"), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(_named_lines, "name long, line_text string")
     lines = written(lines.join(asked.select("name"), "name").dropDuplicates(["name"]), "asked-lines")
     both = pairs.join(lines.select(F.col("name").alias("a"), F.col("line_text").alias("text_a")), "a").join(lines.select(F.col("name").alias("b"), F.col("line_text").alias("text_b")), "b")
     return written(both.mapInArrow(_verified, "a long, b long"), "line-links")
@@ -212,7 +239,9 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     labels = components(links)
     long = found.where("long")
     if not long.isEmpty():
-        more = _runs.crossing(long, labels).groupBy("key", "low", "high").applyInArrow(_block, "a long, b long").distinct()
+        asked = long.select(F.col("a").alias("id")).distinct()
+        known = texts.select("text").mapInArrow(_sketched, "id long, sketch binary").dropDuplicates(["id"]).join(asked, "id")
+        more = _runs.crossing(long, labels, known).groupBy("key", "low", "high").applyInArrow(_block, "a long, b long").distinct()
         extra = _links(more, texts, firsts)
         if not extra.isEmpty():
             labels = components(links.unionByName(extra))
@@ -231,13 +260,19 @@ def _block(table: pa.Table) -> pa.Table:
     roles_any = np.zeros(len(ids), bool)
     np.logical_or.at(roles_any, np.searchsorted(ids, table.column("id").to_numpy()), table.column("role").to_numpy() > 0)
     same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    out = []
-    for i in range(len(ids)):
-        j = np.arange(i + 1, len(ids))
-        ok = (roots[j] != roots[i]) & (np.abs(sizes[j] - sizes[i]) <= EDITS) & (roles_any[j] | roles_any[i]) & (same | (block[j] != block[i]))
-        out.append(np.stack([np.full(int(ok.sum()), ids[i]), ids[j[ok]]], 1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)[keep]
+    out = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(ids), 128):
+        i = np.arange(at, min(len(ids), at + 128))
+        flips = np.zeros((len(i), len(ids)), np.uint16)
+        for k in range(4):
+            flips += np.bitwise_count(bits[i, k][:, None] ^ bits[None, :, k])
+        a, b = np.nonzero(flips <= MOST_FLIPS)
+        a = i[a]
+        ok = (b > a) & (roots[a] != roots[b]) & (np.abs(sizes[a] - sizes[b]) <= EDITS) & (roles_any[a] | roles_any[b]) & (same | (block[a] != block[b]))
+        out.append(np.stack([ids[a[ok]], ids[b[ok]]], 1))
+    found = np.concatenate(out)
+    return pa.table({"a": np.minimum(found[:, 0], found[:, 1]), "b": np.maximum(found[:, 0], found[:, 1])})
 
 
 def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
@@ -246,8 +281,7 @@ def dedup_lines(docs: DataFrame, emptied: str = "keep") -> DataFrame:
     ``emptied="drop"`` leaves out documents that lost their last line with a word.
     """
     drop = written(duplicate_lines(docs).select(F.col("doc_id").alias("owner"), F.col("lines").alias("lost_lines")), "lost-lines")
-    side = F.broadcast(drop) if drop.select(F.coalesce(F.sum(F.size("lost_lines") + 4), F.lit(0))).first()[0] <= MOST_BROADCAST else drop
-    out = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left")
+    out = docs.join(drop.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("owner")), "left")
     lines = F.split(F.col("text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("lost_lines"), k)), "\n")
     changed = F.col("lost_lines").isNotNull()
