@@ -26,6 +26,16 @@ def test_page_without_article_element():
     assert main_text(body) == "\n\n".join(f"{'Some long paragraph of text. ' * 8}{i}" for i in range(4))
 
 
+def test_adverts_inside_an_unmarked_article():
+    lead, last = "A short lead of the article.", "The last words."
+    body = "<p>See <a href=x>the full report of the year</a>.</p>".join(f"<p>{'Some long paragraph of text. ' * 60}{k}</p>" for k in range(3))
+    page = f"<body><nav><a href=x>one</a></nav><div class=content><h1>Title</h1><p>{lead}</p><div class=ad>Buy</div>{body}<form>Join</form><p>{last}</p></div>"
+    page += "<ul>" + "".join(f"<li><a href=x>other page {k}</a></li>" for k in range(5)) + "</ul><footer>end</footer></body>"
+    blocks = main_text(page).split("\n\n")
+    assert blocks[:2] == ["Title", lead] and blocks[-1] == last and len(blocks) == 8
+    assert blocks.count("See the full report of the year.") == 2
+
+
 def test_defined_cases():
     assert main_text(None) == "" == main_text("") == main_text("<nav>only</nav>") == main_text("<<<>>")[:0]
     assert main_text("<article><p>cut off &am") == "cut off &am"

@@ -4,8 +4,9 @@ Markup is stripped so that every block of the page becomes a line; blocks inside
 footers, sidebars, notices, adverts, forms and reader comments become empty lines, several of them, so
 that the distribution falls to nothing there. Text lengths (without link text) are summed over sliding
 windows of lines. A surge is where the sum rises from nothing, a dive where it falls back; the lines
-between a surge and its dive are a region. On pages that mark the article, its regions are kept; on
-others the largest region and those of comparable size.
+between a surge and its dive are a region. On pages that mark the article, its regions are kept, which is
+every marked line; on others every region, from its first to its last line that is not mostly link text.
+So a lead before an advert stays, however short, and lists of links go, as ``WINDOW`` such lines end a region.
 
 Defined cases: a null or empty page has the empty text; broken or cut markup is read as far as it goes;
 repeated rows are extracted each; other columns are ignored; nothing of the article is capped.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from ._text import slices
 
 WINDOW = 3
-#: A region of a page without a marked article is kept from this share of the largest one on.
-SHARE = 0.2
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)(?:>|(?=<)|\Z)|<[!?][^>]*+>")
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -143,10 +142,9 @@ def main_text(page: str | None) -> str:
         sizes = [s if m else 0 for s, m in zip(sizes, marked)]
         keep = regions(sizes)
         return "\n\n".join(lines[k] for a, b in keep for k in range(a, b) if lines[k] and marked[k])
-    keep = regions(sizes)
-    weight = [sum(sizes[a:b]) for a, b in keep]
-    most = max(weight, default=0)
-    return "\n\n".join(lines[k] for (a, b), w in zip(keep, weight) if w and w >= SHARE * most for k in range(a, b) if lines[k] and sizes[k])
+    sizes = [s if 2 * s >= len(line) else 0 for s, line in zip(sizes, lines)]
+    own = [[k for k in range(a, b) if sizes[k]] for a, b in regions(sizes)]
+    return "\n\n".join(lines[k] for ks in own for k in range(ks[0], ks[-1] + 1) if lines[k])
 
 
 def _run(batches):
