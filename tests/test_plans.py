@@ -40,3 +40,13 @@ def test_equals_duckdb(spark, name):
     df = Q.QUERIES[name](spark, BASE)
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == rows(columns, expected.fetchall())
+
+
+def test_enrichment_measures_whole_pages(spark):
+    from pyspark.sql import functions as F
+
+    got = Q.QUERIES["enrichment_stats"](spark, BASE).first()
+    html = spark.read.parquet(f"{BASE}/pages.parquet").agg(F.count("*").alias("n"), F.min(F.char_length("html")).alias("least")).first()
+    assert got["total"] == html["n"] and html["least"] > 100
+    # A page's text is part of its html, and a merge adds a heading at most.
+    assert 1.0 <= got["max_ratio"] < 2.5

@@ -383,7 +383,7 @@ def page_fields(spark, d):
 def enrichment_stats(spark, d):
     p = B.table(spark, d, "pages")
     fields = enrich.page_fields(p).select("url", "clean_text").withColumn("success", F.char_length("clean_text") > 200).dropDuplicates(["url"])
-    c = p.select(F.col("page_id").alias("id"), "url", F.lit("web").alias("source_type"), F.left("html", F.lit(100)).alias("content"))
+    c = p.select(F.col("page_id").alias("id"), "url", F.lit("web").alias("source_type"), F.col("html").alias("content"))
     return _rounded(stats.enrichment_stats(enrich.merge_pages(c, fields)))
 
 
