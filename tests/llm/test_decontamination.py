@@ -55,3 +55,11 @@ def test_passages_of_generated_documents(spark):
     got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()}
     assert brute and brute <= got
     assert {d for d, _ in got} == {d for d, _ in brute}
+
+
+def test_items_of_one_to_five_windows_at_every_place(spark):
+    plain = "zin tael mor pask weno dri lute bern osk vaim terre noll".split()
+    bench = spark.createDataFrame([(n, " ".join(f"{w}{'abcde'[n - 8]}" for w in plain[:n])) for n in range(8, 13)], "item_id long, text string")
+    docs = [(10 * r["item_id"] + k, "a " * k + r["text"] + " b") for r in bench.collect() for k in range(3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()} == {(10 * n + k, n) for n in range(8, 13) for k in range(3)}

@@ -7,8 +7,7 @@ documents that share a window, a second pass aligns each hit with its item and c
 one alignment every value of the item must stand for one value of the document and the other way round.
 
 A document is contaminated by an item when consistent alignments cover ``COVERAGE`` of the item's windows,
-or ``RUN`` windows. The first pass probes every ``STRIDE``-th window, which any run of WINDOW + STRIDE - 1
-words meets; the second counts all.
+or ``RUN`` windows. The first pass probes every window, so that a document with one hit anywhere is seen.
 
 Items under ``SHORTEST`` words say too little and are left out; items shorter than a window are matched
 whole. A hash join is broadcast only when the side's counted rows are within ``MOST_BROADCAST``;
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 
-WINDOW, LITERALS, STRIDE, SHORTEST = 8, 4, 3, 4
+WINDOW, LITERALS, SHORTEST = 8, 4, 4
 COVERAGE, RUN = 0.4, 6
 MOST_BROADCAST = 500_000
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
@@ -60,11 +59,11 @@ def _template_words(text: Column) -> Column:
     return F.filter(words(canonical(text)), lambda w: w != "")
 
 
-def _windows(codes: Column, size: Column | int, stride: int = 1) -> Column:
+def _windows(codes: Column, size: Column | int) -> Column:
     """(place, hash) of the windows of word hashes ``codes``; none if the text is shorter."""
     size = F.lit(size) if isinstance(size, int) else size
     last = F.size(codes) - size
-    places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(codes, i + 1, size)).alias("code")))
 
 
@@ -97,7 +96,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # at most WINDOW values
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     codes = texts.select("doc_id", _codes(_template_words(F.col("text"))).alias("codes"))
-    probes = F.concat(*(F.transform(_windows(F.col("codes"), s, STRIDE if s == WINDOW else 1), _with_size(s)) for s in sizes)) if sizes else F.array().cast("array<struct<size:int,place:int,code:long>>")
+    probes = F.concat(*(F.transform(_windows(F.col("codes"), s), _with_size(s)) for s in sizes)) if sizes else F.array().cast("array<struct<size:int,place:int,code:long>>")
     probed = codes.select("doc_id", F.explode(probes).alias("w")).select("doc_id", F.col("w.size").alias("size"), F.col("w.code").alias("code"))
     keys = index.select("size", "code").distinct()
     found = written(probed.join(_small(keys, n_index), ["size", "code"], "left_semi").select("doc_id").distinct(), "suspects")
