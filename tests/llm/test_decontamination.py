@@ -63,3 +63,19 @@ def test_items_of_one_to_five_windows_at_every_place(spark):
     docs = [(10 * r["item_id"] + k, "a " * k + r["text"] + " b") for r in bench.collect() for k in range(3)]
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()} == {(10 * n + k, n) for n in range(8, 13) for k in range(3)}
+
+
+def test_slots(spark):
+    item = "the farmer sold 3 apples and then 5 pears to his old friend before going home with 3 apples, and a smile"
+    long = "the farmer sold 3 apples and then he walked along the river for a while with his old dog until the sun went down over the hills and sold 3 apples"
+    bench = spark.createDataFrame([(0, item), (1, long)], "item_id long, text string")
+    docs = [
+        (1, "Now " + item.replace("3", "4").replace("5", "4") + " again"),
+        (2, "Now " + item.replace("3", "(7)", 1).replace("3", "7,") + " again"),
+        (3, "Now " + item.replace("3", "7", 1) + " again"),
+        (4, "Now " + long[::-1].replace("3", "8", 1)[::-1]),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()}
+    # Two values that turn equal, values with other punctuation; a value that stands for two; a long verbatim part beside such a value.
+    assert (1, 0) in got and (2, 0) in got and (4, 1) in got

@@ -4,7 +4,8 @@ Numbers, units and names become typed placeholders, word for word, so that a re-
 has the template of its original. Windows of ``WINDOW`` template words of every document are hash-joined
 with those of the benchmark; a window needs ``LITERALS`` words that are not placeholders. On the
 documents that share a window, a second pass aligns each hit with its item and checks the slots: along
-one alignment every value of the item must stand for one value of the document and the other way round.
+one alignment every value of the item must stand for one value of the document. Values are compared without
+case and punctuation. Where a value stands for two, only the alignment's windows of equal words stay.
 
 A document is contaminated by an item when consistent alignments cover ``COVERAGE`` of the item's windows,
 or ``RUN`` windows. The first pass probes every window, so that a document with one hit anywhere is seen.
@@ -46,13 +47,19 @@ def words(text: Column) -> Column:
     return F.split(text, r"[ \t\n\x0B\f\r]+")
 
 
+def _value(word: Column) -> Column:
+    """A word without case and punctuation; signs between digits stay."""
+    out = F.regexp_replace(word, r"[^\p{L}\p{M}\p{N}.,:/]++", "")
+    return F.lower(F.regexp_replace(out, r"(?<!\p{N})[.,:/]++|[.,:/]++(?!\p{N})", ""))
+
+
 def _aligned(docs: DataFrame, key: str) -> DataFrame:
-    """key, template words and raw words of each row, place by place; words of punctuation only are left out."""
+    """key, template words and values of each row, place by place; words of punctuation only are left out."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), PLACEHOLDER, " ")
     both = F.arrays_zip(words(F.col("canon")).alias("c"), words(F.col("raw")).alias("r"))
     out = docs.select(F.col(key), text.alias("raw")).withColumn("canon", canonical(F.col("raw")))
     out = out.select(key, F.filter(both, lambda w: (w["c"] != "") & w["r"].isNotNull()).alias("words"))
-    return out.select(key, F.col("words.c").alias("c"), F.col("words.r").alias("r"))
+    return out.select(key, F.col("words.c").alias("c"), F.transform("words", lambda w: F.when(w["c"].rlike(PLACEHOLDER), _value(w["r"])).otherwise(w["c"])).alias("r"))
 
 
 def _template_words(text: Column) -> Column:
@@ -112,13 +119,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.col("template"), F.col("item_words"), F.col("doc_words"))
     slots = hits.select("doc_id", "item_id", "shift", F.explode(F.filter(pairs, lambda p: p["template"].rlike(PLACEHOLDER))).alias("p"))
     slots = slots.select("doc_id", "item_id", "shift", F.col("p.item_words").alias("a"), F.col("p.doc_words").alias("b")).distinct()
-    many = slots.groupBy("doc_id", "item_id", "shift", "a").agg(F.count("*").alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("other"))
-    back = slots.groupBy("doc_id", "item_id", "shift", "b").agg(F.count("*").alias("n"), F.lit(0).alias("other"))
-    verdict = many.drop("a").unionByName(back.drop("b")).groupBy("doc_id", "item_id", "shift").agg((F.max("n") == 1).alias("consistent"), (F.max("other") == 1).alias("reworded"))
+    many = slots.groupBy("doc_id", "item_id", "shift", "a").agg(F.count("*").alias("n"), F.max(F.col("a") != F.col("b")).alias("other"))
+    verdict = many.groupBy("doc_id", "item_id", "shift").agg((F.max("n") == 1).alias("consistent"), F.max("other").alias("reworded"))
 
     keys = ["doc_id", "item_id", "shift"]
-    kept = hits.select(*keys, "item_place").distinct().alias("h").join(verdict.alias("v"), [F.col(f"h.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left")
-    kept = kept.where(F.coalesce(F.col("v.consistent"), F.lit(True))).select("h.doc_id", "h.item_id", "h.item_place", F.coalesce(F.col("v.reworded"), F.lit(False)).alias("reworded"))
+    verbatim = (F.col("item_words") == F.col("doc_words")).alias("verbatim")
+    kept = hits.select(*keys, "item_place", verbatim).distinct().alias("h").join(verdict.alias("v"), [F.col(f"h.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left")
+    kept = kept.where(F.col("h.verbatim") | F.coalesce(F.col("v.consistent"), F.lit(True))).select("h.doc_id", "h.item_id", "h.item_place", F.coalesce(F.col("v.reworded"), F.lit(False)).alias("reworded"))
     counted = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n_windows"), F.min("reworded").alias("reworded"))
     total = index.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_item"))
     out = counted.join(total, "item_id").withColumn("coverage", F.col("n_windows") / F.col("n_item"))
