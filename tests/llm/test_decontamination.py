@@ -79,3 +79,14 @@ def test_slots(spark):
     got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()}
     # Two values that turn equal, values with other punctuation; a value that stands for two; a long verbatim part beside such a value.
     assert (1, 0) in got and (2, 0) in got and (4, 1) in got
+
+
+def test_items_with_few_literals(spark):
+    items = ["What is 12 + 45 - 7 * 3 ?", "1 2 3 5 8 13 21 34 55 89", "Anna Lee, Bob Ray, Cy Poe, Dee Fox, Ed Orr", "The Old Man And The Sea By Ernest", "Who won?", "we saw Anna Lee Bob Ray Cy Poe Dee Fox"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(10 * i + k, f"{'so ' * k}{t.lower() if k == 2 else t} thus") for i, t in enumerate(items) for k in range(3)]
+    docs += [(100, "What is 13 + 46 - 8 * 4 ?"), (101, "2 3 5 8 14 21 34 55 90 and some"), (102, "Anna Ray, Bob Lee, Cy Fox, Dee Poe, Ed Orr"), (103, "who has won")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()}
+    assert {(10 * i + k, i) for i in range(len(items)) for k in range(3)} <= got
+    assert not {d for d, _ in got} & {100, 101, 102, 103}

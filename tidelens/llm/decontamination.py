@@ -2,16 +2,18 @@
 
 Numbers, units and names become typed placeholders, word for word, so that a re-parameterised question
 has the template of its original. Windows of ``WINDOW`` template words of every document are hash-joined
-with those of the benchmark; a window needs ``LITERALS`` words that are not placeholders. On the
+with those of the benchmark; a window needs ``LITERALS`` words that are not placeholders. Windows of values
+(the words as they are, without case and punctuation) are joined as well, for every window of an item, so
+that verbatim copies need no template; signs such as + that stand alone do not tell copies apart. On the
 documents that share a window, a second pass aligns each hit with its item and checks the slots: along
 one alignment every value of the item must stand for one value of the document. Values are compared without
 case and punctuation. Where a value stands for two, only the alignment's windows of equal words stay.
 
 A document is contaminated by an item when consistent alignments cover ``COVERAGE`` of the item's windows,
-or ``RUN`` windows. The first pass probes every window, so that a document with one hit anywhere is seen.
+or of its windows with enough literals, or ``RUN`` windows. The first pass probes every window, so that a document with one hit anywhere is seen.
 
-Items under ``SHORTEST`` words say too little and are left out; items shorter than a window are matched
-whole. A hash join is broadcast only when the side's counted rows are within ``MOST_BROADCAST``;
+Items shorter than a window are matched whole, those under ``SHORTEST`` words by their values only: an item
+of one word is held by every document with that word. A hash join is broadcast only when the side's counted rows are within ``MOST_BROADCAST``;
 otherwise both sides are shuffled.
 
 Defined cases: null and empty texts match nothing; rows with equal doc_id (or null) are judged together;
@@ -62,10 +64,6 @@ def _aligned(docs: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.col("words.c").alias("c"), F.transform("words", lambda w: F.when(w["c"].rlike(PLACEHOLDER), _value(w["r"])).otherwise(w["c"])).alias("r"))
 
 
-def _template_words(text: Column) -> Column:
-    return F.filter(words(canonical(text)), lambda w: w != "")
-
-
 def _windows(codes: Column, size: Column | int) -> Column:
     """(place, hash) of the windows of word hashes ``codes``; none if the text is shorter."""
     size = F.lit(size) if isinstance(size, int) else size
@@ -88,12 +86,25 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, place, code, number of the item's windows, for windows with enough literal words."""
-    items = _aligned(benchmark.where(F.col("text").isNotNull()), "item_id").where(F.size("c") >= SHORTEST)
+    """item_id, size, item_place, code, whether there are enough literal words, and values, of each item's windows: of values, and of template words with enough literals."""
+    items = _aligned(benchmark.where(F.col("text").isNotNull()), "item_id").where(F.size("c") > 0)
     size = F.least(F.size("c"), F.lit(WINDOW))
-    rows = items.select("item_id", "c", "r", size.alias("size")).withColumn("w", F.explode(_windows(_codes(F.col("c")), F.col("size"))))
-    rows = rows.where(_literals(F.slice("c", F.col("w.place") + 1, F.col("size"))) >= F.least(F.lit(LITERALS), F.col("size")))
-    return rows.select("item_id", "size", F.col("w.place").alias("item_place"), F.col("w.code").alias("code"), F.slice("r", F.col("w.place") + 1, F.col("size")).alias("item_words"))
+    items = items.select("item_id", "c", "r", size.alias("size"), (F.size("c") >= SHORTEST).alias("enough"))
+    place, slot = F.col("w.place"), lambda x: F.slice(x, F.col("w.place") + 1, F.col("size"))
+    out = []
+    for words_of in ("c", "r"):
+        rows = items.withColumn("w", F.explode(_windows(_codes(F.col(words_of)), F.col("size"))))
+        rows = rows.withColumn("typed", F.col("enough") & (_literals(slot("c")) >= F.least(F.lit(LITERALS), F.col("size"))))
+        rows = rows if words_of == "r" else rows.where("typed")
+        out.append(rows.select("item_id", "size", place.alias("item_place"), "typed", F.col("w.code").alias("code"), slot("r").alias("item_words")))
+    return out[0].unionByName(out[1]).distinct()
+
+
+def _probes(sizes: list[int]) -> Column:
+    """(size, place, code) of every window of a document's template words, and of its values where they differ."""
+    empty = F.array().cast("array<struct<size:int,place:int,code:long>>")
+    every = lambda codes: F.concat(empty, *(F.transform(_windows(F.col(codes), s), _with_size(s)) for s in sizes))
+    return F.concat(every("codes"), F.when(F.col("codes") == F.col("values"), empty).otherwise(every("values")))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -102,18 +113,16 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_index = index.count()
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # at most WINDOW values
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    codes = texts.select("doc_id", _codes(_template_words(F.col("text"))).alias("codes"))
-    probes = F.concat(*(F.transform(_windows(F.col("codes"), s), _with_size(s)) for s in sizes)) if sizes else F.array().cast("array<struct<size:int,place:int,code:long>>")
-    probed = codes.select("doc_id", F.explode(probes).alias("w")).select("doc_id", F.col("w.size").alias("size"), F.col("w.code").alias("code"))
+    codes = _aligned(texts, "doc_id").select("doc_id", _codes(F.col("c")).alias("codes"), _codes(F.col("r")).alias("values"))
+    probed = codes.select("doc_id", F.explode_outer(_probes(sizes)).alias("w")).select("doc_id", F.col("w.size").alias("size"), F.col("w.code").alias("code"))
     keys = index.select("size", "code").distinct()
     found = written(probed.join(_small(keys, n_index), ["size", "code"], "left_semi").select("doc_id").distinct(), "suspects")
 
     suspects = texts.join(_small(found.withColumnRenamed("doc_id", "suspect"), found.count()), F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
-    aligned = _aligned(suspects, "doc_id").withColumn("codes", _codes(F.col("c")))
-    every = F.concat(*(F.transform(_windows(F.col("codes"), s), _with_size(s)) for s in sizes)) if sizes else F.array().cast("array<struct<size:int,place:int,code:long>>")
-    hits = aligned.select("doc_id", F.col("c"), F.col("r"), F.explode(every).alias("w"))
+    aligned = written(_aligned(suspects, "doc_id"), "suspect-words").withColumn("codes", _codes(F.col("c"))).withColumn("values", _codes(F.col("r")))
+    hits = aligned.select("doc_id", F.col("c"), F.col("r"), F.explode_outer(_probes(sizes)).alias("w"))
     hits = hits.select("doc_id", F.col("w.size").alias("size"), F.col("w.place").alias("place"), F.col("w.code").alias("code"), F.slice("c", F.col("w.place") + 1, F.col("w.size")).alias("template"), F.slice("r", F.col("w.place") + 1, F.col("w.size")).alias("doc_words"))
-    hits = hits.join(_small(index, n_index), ["size", "code"]).withColumn("shift", F.col("place") - F.col("item_place"))
+    hits = written(hits.join(_small(index, n_index), ["size", "code"]).withColumn("shift", F.col("place") - F.col("item_place")), "benchmark-hits")
 
     # Slots along one alignment: pairs of an item's value and the document's.
     pairs = F.arrays_zip(F.col("template"), F.col("item_words"), F.col("doc_words"))
@@ -124,11 +133,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     keys = ["doc_id", "item_id", "shift"]
     verbatim = (F.col("item_words") == F.col("doc_words")).alias("verbatim")
-    kept = hits.select(*keys, "item_place", verbatim).distinct().alias("h").join(verdict.alias("v"), [F.col(f"h.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left")
-    kept = kept.where(F.col("h.verbatim") | F.coalesce(F.col("v.consistent"), F.lit(True))).select("h.doc_id", "h.item_id", "h.item_place", F.coalesce(F.col("v.reworded"), F.lit(False)).alias("reworded"))
-    counted = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n_windows"), F.min("reworded").alias("reworded"))
-    total = index.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_item"))
-    out = counted.join(total, "item_id").withColumn("coverage", F.col("n_windows") / F.col("n_item"))
+    kept = hits.select(*keys, "item_place", "typed", verbatim).distinct().alias("h").join(verdict.alias("v"), [F.col(f"h.{k}").eqNullSafe(F.col(f"v.{k}")) for k in keys], "left")
+    kept = kept.where(F.col("h.verbatim") | F.coalesce(F.col("v.consistent"), F.lit(True))).select("h.doc_id", "h.item_id", "h.item_place", "h.typed", F.coalesce(F.col("v.reworded"), F.lit(False)).alias("reworded"))
+    typed = F.countDistinct(F.when(F.col("typed"), F.col("item_place")))
+    counted = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n_windows"), typed.alias("n_typed"), F.min("reworded").alias("reworded"))
+    total = index.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_item"), F.nullif(typed, F.lit(0)).alias("n_item_typed"))
+    out = counted.join(total, "item_id").withColumn("coverage", F.greatest(F.col("n_windows") / F.col("n_item"), F.col("n_typed") / F.col("n_item_typed")))
     return out.where((F.col("coverage") >= COVERAGE) | (F.col("n_windows") >= RUN)).select("doc_id", "item_id", "n_windows", "coverage", "reworded")
 
 
