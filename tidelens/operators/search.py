@@ -185,6 +185,11 @@ def analysis_input(contents: DataFrame, analyses: DataFrame, enriched: DataFrame
     return waiting.join(e, "id", "left").withColumn("content", F.when(F.coalesce("success", F.lit(False)), F.col("enriched_content")).otherwise(F.col("content"))).drop("success", "enriched_content")
 
 
+def topic_timeline(rows: DataFrame) -> DataFrame:
+    """Mentions and papers of each topic and day. rows: topics (array), ts, paper_id. Topics are exploded once; joined back to their rows by a unique id, they would be the same."""
+    return rows.select(F.explode("topics").alias("topic"), F.to_date("ts").alias("day"), "paper_id").groupBy("topic", "day").agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"))
+
+
 def reports_with_keywords(reports: DataFrame, keywords: DataFrame, query: str) -> DataFrame:
     """Reports whose id or a keyword matches, with the matching keywords (all of them where the id matches)."""
     like = f"%{query}%"

@@ -211,6 +211,14 @@ def landscape(contents: DataFrame, analyses: DataFrame, keywords: DataFrame) ->
     return a.crossJoin(F.broadcast(k)).withColumn("avg_keywords", F.col("keywords") / F.greatest("contents", F.lit(1))).drop("keywords")
 
 
+def landscape_sources(contents: DataFrame, as_of, top: int = 3) -> DataFrame:
+    """Items of each source, their share in per cent, those of the last 24 hours, and whether it is among the top sources."""
+    day = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL 24 HOURS")
+    g = contents.groupBy("source_type").agg(F.count("*").alias("n"), F.count_if(F.col("collected_at") >= day).alias("n_24h"))
+    whole = Window.partitionBy()  # one row per source
+    return g.select("source_type", "n", (F.col("n") * 100 / F.sum("n").over(whole)).alias("share"), "n_24h", (F.row_number().over(whole.orderBy(F.desc("n"), "source_type")) <= top).alias("top_source"))
+
+
 def technology_mentions(keywords: DataFrame, terms: list[str] = K.REPORT_TECH_TERMS, top: int = 10, samples: int = 3) -> DataFrame:
     """P5: keywords equal to a technology term, with sample titles. keywords: keyword, title, score."""
     hit = keywords.where(F.lower("keyword").isin(terms)).withColumn("term", F.lower("keyword"))
