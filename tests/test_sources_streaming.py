@@ -14,7 +14,7 @@ from .conftest import ROOT
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2301.00001v1</id><title>Test Paper
  Title</title><summary> Words. </summary><author><name>A</name></author><author><name>B</name></author><published>2023-01-01T00:00:00Z</published><category term="cs.AI"/><category term="cs.LG"/>
 <link href="http://arxiv.org/abs/2301.00001v1" rel="alternate"/><link href="http://arxiv.org/pdf/2301.00001v1" title="pdf"/></entry></feed>"""
-INDEX = "Description: index\nsome|text\nCIK|Company Name|Form Type|Date Filed|Filename\n-----\n123| Acme |8-K|2024-01-02|edgar/a.txt\n124|Beta|XX|2024-01-02|edgar/b.txt\n125|short|8-K|x\n"
+INDEX = "Description: index\nsome|text\n7|before|the|header|x\nCIK|Company Name|Form Type|Date Filed|Filename\n-----\n123| Acme |8-K|2024-01-02|edgar/a.txt\nCIK0124|Beta|XX|2024-01-02|edgar/b.txt\n125|short|8-K|x\n"
 
 
 def test_atom(spark, tmp_path):
@@ -27,7 +27,7 @@ def test_atom(spark, tmp_path):
 def test_filing_index(spark, tmp_path):
     (tmp_path / "i.txt").write_text(INDEX)
     rows = {r["cik"]: r for r in readers.filing_index(spark, str(tmp_path / "i.txt")).collect()}
-    assert set(rows) == {"123", "124"} and rows["123"]["company_name"] == "Acme" and rows["123"]["form_description"] == "Current Report" and rows["124"]["form_description"] == "Other Filing"
+    assert set(rows) == {"123", "CIK0124"} and rows["123"]["company_name"] == "Acme" and rows["123"]["form_description"] == "Current Report" and rows["CIK0124"]["form_description"] == "Other Filing"
 
 
 def test_filing_feed(spark, tmp_path):

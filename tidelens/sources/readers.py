@@ -37,9 +37,13 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filing_index(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """S3: records of pipe-delimited daily indexes; lines before the header are no records."""
-    f = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
-    rows = spark.read.text(path).select(f.alias("f")).where((F.size("f") >= 5) & F.col("f")[0].rlike(r"^\d+$"))
+    """S3: records of pipe-delimited daily indexes: the lines after each file's header that have five fields. A file without header has none.
+
+    A daily index is a small file, so each is read whole, and its header found there.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)(?:^|\n)CIK\|Company Name\|[^\n]*\n(.*)", 1).alias("rest"))
+    f = F.transform(F.split("line", r"\|"), lambda x: F.trim(F.regexp_replace(x, r"\r$", "")))
+    rows = whole.select(F.explode(F.split("rest", "\n")).alias("line")).select(f.alias("f")).where(F.size("f") >= 5)
     out = rows.select(*(F.col("f")[k].alias(c) for k, c in enumerate(("cik", "company_name", "form_type", "filing_date", "filename"))))
     out = out if form is None else out.where(F.col("form_type") == form)
     return form_lookup(out.withColumn("filing_url", F.concat(F.lit("https://www.sec.gov/Archives/"), "filename")))
