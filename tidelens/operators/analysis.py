@@ -24,8 +24,11 @@ def readability(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, longer_than: int = 0, stop_words: list[str] = K.STOP_WORDS) -> DataFrame:
-    """(document_id, term, n): content words of every document, counted."""
-    return docs.select("document_id", F.explode(X.content_words("text", stop_words, longer_than)).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("n"))
+    """(document_id, term, n): content words of every document, counted.
+
+    Documents are dealt by id while they are whole, so that counting their words, and ranking them later, shuffles nothing more.
+    """
+    return docs.select("document_id", "text").repartition("document_id").select("document_id", F.explode(X.content_words("text", stop_words, longer_than)).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("n"))
 
 
 def local_weights(docs: DataFrame) -> DataFrame:

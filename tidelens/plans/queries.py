@@ -133,12 +133,29 @@ def corpus_tfidf(spark, d):
     return _rounded(analysis.corpus_tfidf(B.documents(spark, d)))
 
 
-@query("hybrid_keywords")
+_P2 = "p2 AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM pos WHERE length(term) > 1)"
+
+
+@query(
+    "hybrid_keywords", ("pos", "kwr"),
+    f""", {_P2}, {_GRAMS.replace("pos ", "p2 ").replace("g AS (", "g2 AS (", 1)}, c2 AS (SELECT doc_id, p, count(*) AS n FROM g2 GROUP BY doc_id, p), r2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p) AS rank FROM c2),
+    a AS (SELECT doc_id, p AS term, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS a FROM r2 WHERE rank <= 100), b AS (SELECT doc_id, keyword AS term, score AS b FROM kwr WHERE rank <= 10),
+    ab AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.term, b.term) AS term, CASE WHEN a IS NULL THEN b * 0.8::DOUBLE WHEN b IS NULL THEN a ELSE (a + b) / 2 END AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.term = b.term),
+    {_GRAMS}, ph AS (SELECT DISTINCT doc_id, p AS term FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS place FROM g WHERE length(p) > 3) WHERE place <= 20),
+    e AS (SELECT * FROM ab UNION ALL SELECT doc_id, term, 0.5::DOUBLE FROM ph WHERE NOT EXISTS (SELECT 1 FROM ab WHERE ab.doc_id = ph.doc_id AND ab.term = ph.term)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM e)
+    SELECT doc_id AS document_id, term, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+)
 def hybrid_keywords(spark, d):
     return _rounded(analysis.hybrid_keywords(B.documents(spark, d)))
 
 
-@query("summary_sentences")
+@query(
+    "summary_sentences", ("cw", "sent"),
+    f""", w AS (SELECT doc_id, term, n * ln(1 + 1 / (1 + n)) AS weight FROM (SELECT doc_id, term, count(*) AS n FROM cw GROUP BY doc_id, term)), sx AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM sent WHERE len(s) > 5),
+    sw AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(x), '{_WORD}')) AS term FROM sx), sc AS (SELECT sw.doc_id, i, round(avg(weight), 9) AS score FROM sw JOIN w ON w.doc_id = sw.doc_id AND w.term = sw.term GROUP BY sw.doc_id, i),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k FROM sc)
+    SELECT sx.doc_id AS document_id, string_agg(x, ' ' ORDER BY sx.i) AS summary FROM rk JOIN sx ON sx.doc_id = rk.doc_id AND sx.i = rk.i WHERE k <= 5 GROUP BY sx.doc_id UNION ALL SELECT d.doc_id, text FROM documents d JOIN sent ON sent.doc_id = d.doc_id WHERE len(s) <= 5""",
+)
 def summary_sentences(spark, d):
     return analysis.summaries(B.documents(spark, d))
 
@@ -176,9 +193,14 @@ def sentiment_distribution(spark, d):
     return _rounded(stats.sentiment_distribution(analysis.sentiment(B.documents(spark, d))))
 
 
-@query("sentence_sentiment")
+@query(
+    "sentence_sentiment", ("sent",),
+    f""", {_LEX}, sx AS (SELECT doc_id, unnest(s[1:50]) AS x, generate_subscripts(s[1:50], 1) AS i FROM sent), sw AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(x), '{_WORD}')) AS term FROM sx),
+    m AS (SELECT doc_id, i, avg(polarity) AS p FROM sw JOIN lex ON lex.word = sw.term GROUP BY doc_id, i), sp AS (SELECT sx.doc_id, coalesce(p, 0.0) AS p FROM sx LEFT JOIN m ON m.doc_id = sx.doc_id AND m.i = sx.i)
+    SELECT doc_id AS document_id, round(avg(p), 4) AS avg_sentence_polarity, round(stddev_pop(p), 4) AS std_sentence_polarity, count(*) FILTER (p > 0.1) AS positive_sentences, count(*) FILTER (p < -0.1) AS negative_sentences, count(*) FILTER (abs(p) <= 0.1) AS neutral_sentences FROM sp GROUP BY doc_id""",
+)
 def sentence_sentiment(spark, d):
-    return _rounded(analysis.sentence_sentiment(B.documents(spark, d)))
+    return _rounded(analysis.sentence_sentiment(B.documents(spark, d)), 4)
 
 
 @query("full_analysis")
@@ -267,9 +289,10 @@ def cross_domain_trends(spark, d):
     return _rounded(trends.cross_domain_trends(m, "2024-01-01", "2024-01-30", 0.0))
 
 
-@query("new_keywords_by_day", ("ev",), ", x AS (SELECT DISTINCT topic AS keyword, CAST(ts AS DATE) AS day FROM ev), r AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS k FROM x) SELECT keyword, day FROM r a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k = 2 AND b.keyword = a.keyword)")
+@query("new_keywords_by_day", ("ev",), ", x AS (SELECT DISTINCT topic || '_' || (paper_id % 50) AS keyword, CAST(ts AS DATE) AS day FROM ev), r AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS k FROM x) SELECT keyword, day FROM r a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k = 2 AND b.keyword = a.keyword)")
 def new_keywords_by_day(spark, d):
-    return stats.new_keywords(B.mentions(spark, d).select(F.col("topic").alias("keyword"), "ts"))
+    own = F.concat_ws("_", "topic", F.pmod("paper_id", F.lit(50)).cast("string"))
+    return stats.new_keywords(B.mentions(spark, d).select(own.alias("keyword"), "ts"))
 
 
 @query("trend_report")
@@ -284,6 +307,27 @@ def _elements(spark, d):
     return B.keywords(spark, d).select(F.col("document_id").alias("paper_id"), F.lit("keyword").alias("kind"), F.col("keyword").alias("element"))
 
 
+def _three_kinds(spark, d):
+    """Keywords, the letters that a document's five first keywords begin with as entities, and its source as a topic."""
+    k = B.keywords(spark, d)
+    first = k.where("rank <= 5").select(F.col("document_id").alias("paper_id"), F.lit("entity").alias("kind"), F.left("keyword", F.lit(2)).alias("element")).distinct()
+    topic = B.documents(spark, d).select(F.col("document_id").alias("paper_id"), F.lit("topic").alias("kind"), F.concat_ws("_", "source_type", F.pmod("document_id", F.lit(7)).cast("string")).alias("element"))
+    return _elements(spark, d).unionByName(first).unionByName(topic)
+
+
+@query(
+    "paper_correlations_of_three_kinds", ("kw",),
+    """, k AS (SELECT DISTINCT doc_id, 'keyword' AS kind, lower(keyword) AS e FROM kw UNION SELECT DISTINCT doc_id, 'entity', substr(keyword, 1, 2) FROM kw WHERE rank <= 5 UNION SELECT doc_id, 'topic', source || '_' || (doc_id % 7) FROM documents),
+    n AS (SELECT doc_id, kind, count(*) AS n FROM k GROUP BY doc_id, kind), p AS (SELECT a.doc_id AS paper_a, b.doc_id AS paper_b, a.kind, count(*) AS i, list(a.e ORDER BY a.e)[1:10] AS shared FROM k a JOIN k b ON a.kind = b.kind AND a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+    j AS (SELECT p.*, i / (na.n + nb.n - i) AS j FROM p JOIN n na ON na.doc_id = paper_a AND na.kind = p.kind JOIN n nb ON nb.doc_id = paper_b AND nb.kind = p.kind),
+    w AS (SELECT paper_a, paper_b, coalesce(max(j) FILTER (kind = 'keyword'), 0) AS jk, coalesce(max(j) FILTER (kind = 'entity'), 0) AS je, coalesce(max(j) FILTER (kind = 'topic'), 0) AS jt FROM j GROUP BY ALL),
+    s AS (SELECT *, 0.4::DOUBLE * jk + 0.3::DOUBLE * je + 0.3::DOUBLE * jt AS score, CASE WHEN jk >= je AND jk >= jt THEN 'keyword' WHEN je >= jt THEN 'entity' ELSE 'topic' END AS kind FROM w)
+    SELECT s.paper_a, s.paper_b, round(score, 6) AS score, s.kind, coalesce(array_to_string(j.shared, '|'), '') AS shared, round(least(1.0, coalesce(len(j.shared), 0) / 5), 6) AS confidence FROM s LEFT JOIN j ON j.paper_a = s.paper_a AND j.paper_b = s.paper_b AND j.kind = s.kind WHERE score >= 0.3 - 1e-12""",
+)
+def paper_correlations_of_three_kinds(spark, d):
+    return _rounded(correlate.paper_pairs(_three_kinds(spark, d)).withColumn("shared", F.array_join("shared", "|")))
+
+
 @query("paper_correlations", ("kw",), ", k AS (SELECT DISTINCT doc_id, lower(keyword) AS e FROM kw), n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), p AS (SELECT a.doc_id AS paper_a, b.doc_id AS paper_b, count(*) AS i, string_agg(a.e, '|' ORDER BY a.e) AS shared FROM k a JOIN k b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL), s AS (SELECT p.*, 0.4::DOUBLE * i / (na.n + nb.n - i) AS score FROM p JOIN n na ON na.doc_id = paper_a JOIN n nb ON nb.doc_id = paper_b) SELECT paper_a, paper_b, round(score, 6) AS score, 'keyword' AS kind, shared, least(1.0, i / 5) AS confidence FROM s WHERE score >= 0.3 - 1e-12")
 def paper_correlations(spark, d):
     return _rounded(correlate.paper_pairs(_elements(spark, d)).withColumn("shared", F.array_join("shared", "|")))
