@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ._shared import written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every id of ``links`` (a, b: long): root is the smallest id that it reaches.
+def components(links: DataFrame, *done: DataFrame) -> DataFrame:
+    """(id, root) for every id of ``links`` (a, b: long): root is the smallest id that it reaches. ``done`` are deleted once ``links`` is read.
 
     Each round points every neighbour at the smallest id known nearby, first towards larger ids, then
     towards smaller ones; rounds grow with the logarithm of the number of ids. Hubs are reduced by
     partial aggregates and joins that can be split.
     """
-    edges = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", *done)
     mark = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -27,5 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.where("u != v").distinct(), "edges")
+        edges = written(small.where("u != v").distinct(), "edges", edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -6,6 +6,7 @@ slice of a batch, so memory is bounded by ``SLICE_BYTES`` or by the longest sing
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ ASCII_LOWER[65:91] += 32
 #: Odd multipliers of the word and window hashes.
 _BASE = 0x9E3779B97F4A7C15
 _WINDOW = 0xD6E8FEB86659FD93
+#: Bytes from which on a span is hashed all at once.
+_LONG = 64
 #: The low 0 to 8 bytes of a word of the machine.
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
@@ -47,6 +50,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and each would hold its largest task's."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of each slice come to about ``most`` bytes (one row at least)."""
     for batch in batches:
@@ -58,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,22 +91,37 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, eight bytes at a time."""
+    """64-bit hashes of spans of bytes, eight bytes at a time; of long spans all eights at once."""
     lengths = ends - starts
     h = lengths.astype(np.uint64)
     if not len(starts):
         return h
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(padded) - 7,), np.uint64, padded, 0, (1,))  # the eight bytes from every place on
-    live, at, left = slice(None), starts, lengths
-    while True:
+    long = np.flatnonzero(lengths > _LONG)
+    if len(long):
+        h[long] = _long_hashes(eights, starts[long], lengths[long])
+    live = slice(None) if not len(long) else np.flatnonzero(lengths <= _LONG)
+    at, left = starts[live], lengths[live]
+    while len(at):
         part = eights[at] & _MASKS[np.minimum(left, 8)]
         h[live] = (h[live] ^ mix(part + np.uint64(_BASE))) * np.uint64(_BASE)
         more = np.flatnonzero(left > 8)
         if not len(more):
-            return mix(h)
+            break
         live = more if isinstance(live, slice) else live[more]
         at, left = at[more] + 8, left[more] - 8
+    return mix(h)
+
+
+def _long_hashes(eights: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the mixed eights of each span, each with a factor for its place."""
+    n = -(-lengths // 8)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    part = eights[np.repeat(starts, n) + 8 * place] & _MASKS[np.minimum(np.repeat(lengths, n) - 8 * place, 8)]
+    factor = mix(place.astype(np.uint64) + np.uint64(_WINDOW)) | np.uint64(1)
+    return np.add.reduceat(mix(part + np.uint64(_BASE)) * factor, first) + mix(lengths.astype(np.uint64))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:
