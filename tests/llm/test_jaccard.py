@@ -32,7 +32,9 @@ def brute(rows):
     groups = {}
     for k in sets:
         groups.setdefault(find(k), []).append(rows[k][0])
-    return sorted((rows[k][0], len(sets[k]), min(groups[find(k)])) for k in sets)
+    least = lambda ids: min((d for d in ids if d is not None), default=None)
+    own = lambda k: least(groups[find(k)]) if sets[k] else rows[k][0]
+    return sorted(((rows[k][0], len(sets[k]), own(k)) for k in sets), key=str)
 
 
 def corpus(seed):
@@ -59,17 +61,29 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed,short", [(1, 24), (2, 4)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, short):
+    monkeypatch.setattr(_runs, "SMALL", 6)
     monkeypatch.setattr(_runs, "SHORT", short)
     monkeypatch.setattr(_runs, "BLOCK", 16)
+    monkeypatch.setattr(J, "PARTNERS", 5)
     rows = corpus(seed)
-    docs = spark.createDataFrame([(d, t, "clash", 0) for d, t in rows], "doc_id long, text string, class string, point int")
-    assert sorted(map(tuple, J.jaccard_components(docs).collect())) == brute(rows)
+    docs = spark.createDataFrame([(d, t, "clash", 0) for d, t in rows], "doc_id long, text string, other string, point int")
+    assert sorted(map(tuple, J.jaccard_components(docs).collect()), key=str) == brute(rows)
     if short == 24:
         kept = J.one_of_each(docs)
         assert kept.columns == docs.columns
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
 
 
+def test_shared_and_missing_ids_keep_their_links(spark):
+    """Rows of one doc_id or of none have their own texts: each keeps its links, and a row without doc_id joins two others."""
+    rows = [(d if k % 4 else None if k % 8 else d // 9, t) for k, (d, t) in enumerate(corpus(3))]
+    words = [f"v{k}" for k in range(60)]
+    a, b, c = (" ".join(words[:n] + [f"x{k}" for k in range(n, 60)]) for n in (60, 54, 48))
+    rows += [(9001, a), (None, b), (9003, c), (9005, a + " y"), (9005, "other text of the same id entirely"), (None, None), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(docs).collect()), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -85,6 +99,39 @@ def test_tree_finds_every_pair_that_the_bound_allows():
     assert got == want
 
 
+def test_points_bound_the_overlap_at_any_size():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64, 40_000, np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (3, 900, 1100, 5000, 20_000, 30_000)]
+    import pyarrow as pa
+
+    own = J._Bound(pa.array([J.point(s) for s in sets], pa.binary()), np.array([len(s) for s in sets]))
+    assert own.points.sum(1).tolist() == [len(s) for s in sets]
+    for i in range(6):
+        for j in range(6):
+            assert J.finer_bound(J.point(sets[i]), J.point(sets[j])) >= len(np.intersect1d(sets[i], sets[j]))
+    assert len(J.point(np.arange(3000, dtype=np.uint64) << np.uint64(40))) >= J.GROUPS  # many members in one group
+
+
+def test_dense_blocks_find_every_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120, np.uint64)
+    sets = [np.unique(np.where(rng.random(120) < rng.choice([0.05, 0.12, 0.3]), rng.integers(0, 2**63, 120, np.uint64), base)) for _ in range(150)]
+    n = len(sets)
+    table = pa.table({"members": pa.array([s.tobytes() for s in sets], pa.binary()), "root": np.arange(n) // 2, "asks": np.arange(n) % 3 > 0, "member": np.ones(n, bool)})
+    own = J._Dense(table)
+    a, b = own.large(0, n)
+    assert 0 < len(a) < n and own.linked(a, b).all()
+    root = np.arange(n) // 2
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[root == root[x]] = root[y]
+    for x in range(n):
+        for y in range(x):
+            assert root[x] == root[y] or not (x % 3 or y % 3) or not J.similar(sets[x], sets[y])
+
+
 def test_graph_components(spark):
     random.seed(5)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 500 + k) for k in range(40)] + [(random.randrange(1000, 1100), random.randrange(1000, 1100)) for _ in range(60)]
