@@ -205,7 +205,11 @@ def sentence_sentiment(spark, d):
 
 @query("full_analysis")
 def full_analysis(spark, d):
-    return analysis.analyze(B.documents(spark, d))
+    """T1, the lists joined."""
+    out = analysis.analyze(B.documents(spark, d))
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    kinds = F.array_sort(F.transform(F.map_entries("entities"), lambda e: F.concat_ws(":", e["key"], F.array_join(e["value"], ","))))
+    return _rounded(out.select("document_id", "word_count", "sentence_count", "readability", "summary", joined("keywords.keyword").alias("keywords"), joined("topics").alias("topics"), joined(kinds).alias("entities"), "polarity", "subjectivity", "sentiment_label", "positive_sentences", "negative_sentences"))
 
 
 # Keyword statistics over sources
