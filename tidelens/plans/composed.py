@@ -47,3 +47,6 @@ LEFT JOIN (SELECT document_id, string_agg(term, '|' ORDER BY rank) AS keywords F
 LEFT JOIN (SELECT document_id, string_agg(topic, '|' ORDER BY rank) AS topics FROM {_of("topics")} GROUP BY document_id) t ON t.document_id = c.document_id
 LEFT JOIN (SELECT document_id, string_agg(kind || ':' || array_to_string(own, ','), '|' ORDER BY kind) AS entities FROM e WHERE len(own) > 0 GROUP BY document_id) n ON n.document_id = c.document_id
 LEFT JOIN {_of("sentiment")} m ON m.document_id = c.document_id LEFT JOIN {_of("sentence_sentiment")} x ON x.document_id = c.document_id"""
+
+ORACLE["correlation_report"] = f"""SELECT * FROM (SELECT 'pair' AS section, paper_a || '-' || paper_b AS name, score FROM {_of("paper_correlations")} ORDER BY score DESC, name LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'cluster', cluster, coherence FROM {_of("topic_clusters")} ORDER BY coherence DESC, cluster LIMIT 3)"""

@@ -482,3 +482,100 @@ def clean_sentences(spark, d):
 def decoded_readmes(spark, d):
     """What was stored as base64 comes back, its first 2,000 characters."""
     return B.documents(spark, d).select(F.col("document_id").alias("id"), S.readme(F.base64(F.encode("text", "UTF-8"))).alias("readme"))
+
+
+# Mined insights, labelled responses, families, roll-ups over analyses
+
+
+def _any(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_NUMBERS = "|".join(K.NUMBER_PATTERNS)
+_RULE = "CASE " + " ".join(f"WHEN contains(lower(title), '{w}') THEN '{t}'" for w, t in K.TITLE_IMPLICATIONS) + " END"
+
+
+@query(
+    "mined_insights", ("papers",),
+    rf""", sx AS (SELECT paper_id, s, i, trim(regexp_replace(s, '\s+', ' ', 'g')) AS t FROM (SELECT paper_id, unnest(string_split(abstract, '. ')) AS s, generate_subscripts(string_split(abstract, '. '), 1) AS i FROM papers)),
+    c AS (SELECT *, CASE WHEN t = '' OR regexp_matches(t, '[.!?]$') THEN upper(substr(t, 1, 1)) || substr(t, 2) ELSE upper(substr(t, 1, 1)) || substr(t, 2) || '.' END AS c FROM sx),
+    p AS (SELECT paper_id, arg_min(c, i) FILTER (length(c) > 20 AND {_any("lower(s)", K.NOVELTY_TERMS)}) AS novel, arg_min(c, i) FILTER (length(c) > 20 AND regexp_matches(s, '{_NUMBERS}')) AS number, arg_min(c, i) FILTER (length(c) > 20 AND {_any("lower(s)", K.METHOD_WORDS)}) AS method,
+    arg_min(c, i) FILTER (length(c) > 20 AND {_any("lower(s)", K.BUSINESS_TERMS)}) AS business, arg_min(c, i) FILTER (length(c) > 20 AND {_any("lower(s)", K.IMPACT_TERMS)}) AS impact, arg_min(s, i) AS first FROM c GROUP BY paper_id)
+    SELECT papers.paper_id, coalesce(substr(novel, 1, 200), CASE WHEN length(first) > 30 THEN 'From ' || split_part(title, ':', 1) || ': ' || substr(first, 1, 150) || '...' END) AS contribution, substr(coalesce(number, method), 1, 200) AS innovation, coalesce(substr(business, 1, 200), substr(impact, 1, 200), {_RULE}) AS implication FROM papers JOIN p ON p.paper_id = papers.paper_id""",
+)
+def mined_insights(spark, d):
+    """L19, L20, L21."""
+    return B.papers(spark, d).select("paper_id", rubric.mine_contribution().alias("contribution"), rubric.mine_innovation().alias("innovation"), rubric.mine_implication().alias("implication"))
+
+
+@query("labelled_responses", (), "SELECT doc_id AS response_id, CASE WHEN doc_id % 2 = 0 THEN 'A long contribution of ' || source END AS contribution, 'short' AS approach, CASE WHEN doc_id % 3 = 0 THEN 'Unable to parse this response' ELSE 'Measured results of ' || lang || ' texts' END AS result, round(((CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END)) / 5 * 10, 6) AS completeness FROM documents")
+def labelled_responses(spark, d):
+    """L23, L24."""
+    k = F.col("doc_id")
+    line = F.concat_ws("\n", F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.lit("Key innovation: A long contribution of "), "source")), F.lit("Method: first"), F.lit("no label here"), F.lit("Approach:  short "), F.when(F.pmod(k, F.lit(3)) == 0, "Result: Unable to parse this response").otherwise(F.concat(F.lit("Results: Measured results of "), "lang", F.lit(" texts"))))
+    r = rubric.labelled_lines(B.table(spark, d, "documents").select(k.alias("response_id"), line.alias("raw_response")))
+    return _rounded(r.select("response_id", "contribution", "approach", "result", "completeness"))
+
+
+@query("oldest_analyses", ("an",), "SELECT paper_id, min(id) AS id, min(created_at) AS created_at FROM an GROUP BY paper_id")
+def oldest_analyses(spark, d):
+    """C4: papers with several analyses count once."""
+    from ..operators import correlate
+
+    return correlate.one_analysis(B.analyses(spark, d)).select("paper_id", "id", "created_at")
+
+
+@query("technical_terms", ("papers",), ", t AS (SELECT paper_id, lower(abstract || CASE WHEN paper_id % 10 = 0 THEN ' Graph ' || source_type || ' network, attention and fast training of a method' ELSE '' END) AS t FROM papers), x AS (SELECT paper_id, unnest(list_concat(list_filter(list_concat(" + ", ".join(f"regexp_extract_all(t, '{p}', {g})" for p in (K.TECHNICAL_PATTERNS[0], K.TECHNICAL_PATTERNS[2]) for g in (1, 2)).replace("), regexp", "), regexp", 1) + "), lambda w: length(w) > 2), regexp_extract_all(t, '" + K.TECHNICAL_PATTERNS[1] + "', 1))) AS term FROM t) SELECT DISTINCT paper_id, term FROM x")
+def technical_terms(spark, d):
+    """Y2, over texts in which every tenth document speaks of methods."""
+    from ..operators import synthesis
+
+    said = F.when(F.pmod("paper_id", F.lit(10)) == 0, F.concat(F.lit(" Graph "), "source_type", F.lit(" network, attention and fast training of a method"))).otherwise("")
+    return B.papers(spark, d).select("paper_id", F.explode(synthesis.technical_terms(F.concat("abstract", said))).alias("term"))
+
+
+@query("cross_source_section", ("kw", "papers"), ", g AS (SELECT source_type, keyword, row_number() OVER (PARTITION BY source_type ORDER BY count(*) DESC, keyword) AS rank FROM kw GROUP BY source_type, keyword), t AS (SELECT source_type, string_agg(keyword, '|' ORDER BY rank) AS themes FROM g WHERE rank <= 3 GROUP BY source_type) SELECT p.source_type, count(*) AS items, any_value(themes) AS themes, round(avg(length(" + _SUMMARY.format("abstract", 200) + ")), 6) AS avg_summary_length FROM papers p LEFT JOIN t ON t.source_type = p.source_type GROUP BY p.source_type")
+def cross_source_section(spark, d):
+    """P3."""
+    c = B.contents(spark, d)
+    s = c.select(F.col("id").alias("document_id"), S.summary("content").alias("summary"))
+    return _rounded(stats.cross_source_section(B.keywords(spark, d), c, s).withColumn("themes", F.array_join("themes", "|")))
+
+
+@query("landscape", ("kw",), "SELECT round((SELECT avg(length(text)) FROM documents), 6) AS avg_words, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS positive, (SELECT count(*) FROM documents WHERE doc_id % 4 = 1) AS negative, (SELECT count(*) FROM documents WHERE doc_id % 4 > 1) AS neutral, (SELECT count(*) FROM documents) AS contents, round((SELECT count(*) FROM kw) / (SELECT count(*) FROM documents), 6) AS avg_keywords")
+def landscape(spark, d):
+    """A missing label is neutral."""
+    k = F.pmod("document_id", F.lit(4))
+    a = B.documents(spark, d).select(F.char_length("text").alias("word_count"), F.when(k == 0, "positive").when(k == 1, "negative").when(k == 2, "neutral").alias("sentiment_label"))
+    return _rounded(stats.landscape(B.contents(spark, d), a, B.keywords(spark, d)))
+
+
+@query("cleaned_texts", ("papers",), rf"SELECT paper_id, trim(regexp_replace(regexp_replace(regexp_replace(abstract, '\s+', ' ', 'g'), '(?i)({K.WEB_BOILERPLATE})', '', 'g'), '(?i)({K.WEB_NAVIGATION})', '', 'g')) AS text FROM papers")
+def cleaned_texts(spark, d):
+    """E7."""
+    return B.papers(spark, d).select("paper_id", enrich.clean("abstract").alias("text"))
+
+
+def _family_sql(families: dict, prefix: str, kind: str) -> str:
+    hits = " UNION ALL ".join(f"SELECT '{name}' AS family, paper_id FROM papers WHERE {_any('lower(title || chr(32) || abstract)', own)}" for name, own in families.items())
+    frame = "CASE WHEN count(*) >= all_papers * 0.5 THEN 'established' WHEN count(*) >= all_papers * 0.3 THEN 'growing' ELSE 'emerging' END"
+    return f"SELECT '{prefix}' || family AS trend_id, '{kind}' AS trend_type, count(*) AS mentions, round(count(*) / any_value(all_papers), 6) AS confidence, {frame.replace('all_papers', 'any_value(all_papers)')} AS timeframe FROM ({hits}), (SELECT count(*) AS all_papers FROM papers) GROUP BY family"
+
+
+@query("family_trends", ("papers",), _family_sql(K.METHOD_FAMILIES, "method_trend_", "methodological") + " UNION ALL " + _family_sql(K.APPLICATION_FAMILIES, "app_trend_", "application"))
+def family_trends(spark, d):
+    """Every family that any paper speaks of."""
+    from ..operators import synthesis
+
+    p = B.papers(spark, d).withColumn("innovations", F.lit(None).cast("array<string>")).withColumn("implications", F.lit(None).cast("array<string>"))
+    every = synthesis.method_trends(p, least=1, confidence=0.0).unionByName(synthesis.application_trends(p, least=1, confidence=0.0))
+    return _rounded(every.select("trend_id", "trend_type", "mentions", "confidence", "timeframe"))
+
+
+@query("corpus_footprint", (), "SELECT count(*) > 0 AS any_files, sum(length(text)) > 0 AS any_bytes FROM documents")
+def corpus_footprint(spark, d):
+    """The table's own files."""
+    from ..sources import readers
+
+    out = readers.footprint(spark, f"{d}/documents.parquet")
+    return out.select((F.col("files") > 0).alias("any_files"), (F.col("megabytes") > 0).alias("any_bytes"))

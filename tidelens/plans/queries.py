@@ -344,6 +344,13 @@ def topic_clusters(spark, d):
     return _rounded(out.withColumn("central_keywords", F.array_join("central_keywords", "|")).withColumn("related_topics", F.array_join("related_topics", "|")))
 
 
+@query("correlation_report")
+def correlation_report(spark, d):
+    """C10."""
+    k = B.keywords(spark, d).select(F.col("document_id").alias("paper_id"), "keyword", F.col("keyword").alias("topic"), "rank")
+    return _rounded(correlate.correlation_report(_elements(spark, d), k.drop("keyword"), k.select("paper_id", "keyword")))
+
+
 @query("research_connections", ("kw",), ", p AS (SELECT DISTINCT doc_id AS paper_id, substr(keyword, 1, 1) AS domain FROM kw), b AS (SELECT x.domain AS domain_a, y.domain AS domain_b, count(*) AS bridges FROM p x JOIN p y ON x.paper_id = y.paper_id AND x.domain < y.domain GROUP BY ALL), s AS (SELECT domain, count(*) AS n FROM p GROUP BY domain) SELECT domain_a, domain_b, bridges, round(bridges / (sa.n + sb.n - bridges), 6) AS strength FROM b JOIN s sa ON sa.domain = domain_a JOIN s sb ON sb.domain = domain_b WHERE bridges >= 2")
 def research_connections(spark, d):
     k = B.keywords(spark, d).select(F.col("document_id").alias("paper_id"), "keyword")
