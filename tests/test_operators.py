@@ -39,6 +39,24 @@ def test_pairs(spark):
     assert got[0]["score"] == pytest.approx(0.7) and got[0]["kind"] == "keyword" and got[0]["shared"] == ["a", "b", "c"] and got[0]["confidence"] == pytest.approx(0.6)
 
 
+def test_pairs_equal_brute_force_with_a_keyword_that_all_hold(spark):
+    import random
+
+    rng = random.Random(7)
+    papers = {}
+    for p in range(60):
+        papers[p] = {"keyword": {"hot", *rng.sample("abcdefghijklmnop", rng.randrange(0, 6))}, "entity": set(rng.sample("uvwxyz", rng.randrange(0, 4))), "topic": set(rng.sample("12345", rng.randrange(0, 3)))}
+    rows = [(p, kind, x) for p, kinds in papers.items() for kind, own in kinds.items() for x in own]
+    want = {}
+    for a in papers:
+        for b in range(a + 1, 60):
+            score = sum(w * (len(papers[a][k] & papers[b][k]) / len(papers[a][k] | papers[b][k]) if papers[a][k] and papers[b][k] else 0) for k, w in correlate.KINDS.items())
+            if score >= 0.3 - 1e-12:
+                want[a, b] = score
+    got = {(r["paper_a"], r["paper_b"]): r["score"] for r in correlate.paper_pairs(spark.createDataFrame(rows, "paper_id long, kind string, element string")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_pairs_join_by_equality(spark):
     e = spark.createDataFrame([(1, "keyword", "a")], "paper_id long, kind string, element string")
     plan = correlate.paper_pairs(e)._jdf.queryExecution().executedPlan().toString()
