@@ -273,24 +273,29 @@ def keyword_trends(spark, d):
     return _rounded(t)
 
 
-_DENSE = ", f AS (SELECT topic, CAST(ts AS DATE) AS day, count(*) AS n FROM ev GROUP BY ALL), z AS (SELECT topic, CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS day, i FROM (SELECT DISTINCT topic FROM f), range(30) r(i)), dn AS (SELECT z.topic, z.day, z.i, coalesce(f.n, 0) AS n FROM z LEFT JOIN f ON f.topic = z.topic AND f.day = z.day)"
+_DENSE = ", bd AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS len FROM ev), f AS (SELECT topic, CAST(ts AS DATE) AS day, count(*) AS n FROM ev GROUP BY ALL), z AS (SELECT topic, CAST(lo + CAST(i AS INTEGER) AS DATE) AS day, i FROM (SELECT DISTINCT topic FROM f), (SELECT lo, unnest(range(len)) AS i FROM bd)), dn AS (SELECT z.topic, z.day, z.i, coalesce(f.n, 0) AS n FROM z LEFT JOIN f ON f.topic = z.topic AND f.day = z.day)"
+
+
+def _days(spark, d) -> tuple:
+    """The first and the last day of the events."""
+    return tuple(B.mentions(spark, d).agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first())  # two values
 
 
 @query("topic_timeline_dense", ("ev",), _DENSE + " SELECT topic, day, i, n FROM dn")
 def topic_timeline_dense(spark, d):
-    return _rounded(trends.dense_timeline(B.mentions(spark, d), "2024-01-01", "2024-01-30"))
+    return _rounded(trends.dense_timeline(B.mentions(spark, d), *_days(spark, d)))
 
 
-@query("emerging_topics", ("ev",), _DENSE + ", l AS (SELECT *, lag(n) OVER (PARTITION BY topic ORDER BY i) AS p, avg(n) FILTER (i < 10) OVER (PARTITION BY topic) AS tm FROM dn), g AS (SELECT topic, CAST(sum(n) AS BIGINT) AS total, avg(n) FILTER (i < 15) AS b, avg(n) FILTER (i >= 15) AS r, min(i) FILTER (i >= 10 AND n > 1.5 * tm) AS rise, coalesce(avg((n - p) / p) FILTER (p > 0), 0) AS growth, string_agg(n, '|' ORDER BY i) FILTER (i >= 23) AS recent_points FROM l GROUP BY topic), e AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-2 * (r / b - 1))) END AS score FROM g) SELECT topic, round(score, 6) AS emergence_score, CAST(DATE '2024-01-30' - CAST(30 - rise AS INTEGER) AS DATE) AS emergence_date, round(growth, 6) AS growth_rate, total, recent_points FROM e WHERE score > 0.5")
+@query("emerging_topics", ("ev",), _DENSE + ", l AS (SELECT *, lag(n) OVER (PARTITION BY topic ORDER BY i) AS p, avg(n) FILTER (i < len // 3) OVER (PARTITION BY topic) AS tm FROM dn, bd), g AS (SELECT topic, CAST(sum(n) AS BIGINT) AS total, avg(n) FILTER (i < len // 2) AS b, avg(n) FILTER (i >= len // 2) AS r, min(i) FILTER (i >= len // 3 AND n > 1.5 * tm) AS rise, coalesce(avg((n - p) / p) FILTER (p > 0), 0) AS growth, string_agg(n, '|' ORDER BY i) FILTER (i >= len - 7) AS recent_points FROM l GROUP BY topic), e AS (SELECT *, CASE WHEN b = 0 THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END ELSE 1 / (1 + exp(-2 * (r / b - 1))) END AS score FROM g) SELECT topic, round(score, 6) AS emergence_score, CAST(hi - CAST(len - rise AS INTEGER) AS DATE) AS emergence_date, round(growth, 6) AS growth_rate, total, recent_points FROM e, bd WHERE score > 0.5")
 def emerging_topics(spark, d):
-    t = trends.emerging_topics(B.mentions(spark, d), "2024-01-01", "2024-01-30")
+    t = trends.emerging_topics(B.mentions(spark, d), *_days(spark, d))
     return _rounded(t.withColumn("recent_points", F.array_join(F.col("recent_points").cast("array<string>"), "|")))
 
 
-@query("cross_domain_trends", ("ev",), _DENSE.replace("topic", "kd").replace("FROM ev", "FROM (SELECT keyword || '#' || CAST(paper_id % 3 AS VARCHAR) AS kd, ts FROM ev)") + ", x AS (SELECT split_part(kd, '#', 1) AS keyword, 'd' || split_part(kd, '#', 2) AS domain, i, n FROM dn) SELECT a.keyword, a.domain AS domain_a, b.domain AS domain_b, round(corr(a.n, b.n), 6) AS score, CAST(sum(a.n) + sum(b.n) AS BIGINT) AS total FROM x a JOIN x b ON a.keyword = b.keyword AND a.i = b.i AND a.domain < b.domain GROUP BY ALL HAVING corr(a.n, b.n) > 0.0")
+@query("cross_domain_trends", ("ev",), _DENSE.replace("topic", "kd").replace("AS n FROM ev GROUP", "AS n FROM (SELECT keyword || '#' || CAST(paper_id % 3 AS VARCHAR) AS kd, ts FROM ev) GROUP") + ", x AS (SELECT split_part(kd, '#', 1) AS keyword, 'd' || split_part(kd, '#', 2) AS domain, i, n FROM dn) SELECT a.keyword, a.domain AS domain_a, b.domain AS domain_b, round(corr(a.n, b.n), 6) AS score, CAST(sum(a.n) + sum(b.n) AS BIGINT) AS total FROM x a JOIN x b ON a.keyword = b.keyword AND a.i = b.i AND a.domain < b.domain GROUP BY ALL HAVING corr(a.n, b.n) > 0.0")
 def cross_domain_trends(spark, d):
     m = B.mentions(spark, d).withColumn("domain", F.concat(F.lit("d"), F.pmod("paper_id", F.lit(3)).cast("string")))
-    return _rounded(trends.cross_domain_trends(m, "2024-01-01", "2024-01-30", 0.0))
+    return _rounded(trends.cross_domain_trends(m, *_days(spark, d), 0.0))
 
 
 @query("new_keywords_by_day", ("ev",), ", x AS (SELECT DISTINCT topic || '_' || (paper_id % 50) AS keyword, CAST(ts AS DATE) AS day FROM ev), r AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS k FROM x) SELECT keyword, day FROM r a WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM r b WHERE b.k = 2 AND b.keyword = a.keyword)")
