@@ -20,8 +20,8 @@ from ._text import span_hashes, text_buffer
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 #: Code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Most pre-tokens that a worker remembers, some 30 bytes each.
-REMEMBERED = 2_000_000
+#: Most pre-tokens that a worker remembers, some 30 bytes each (twice that while it adds some).
+REMEMBERED = 400_000
 
 
 @functools.cache

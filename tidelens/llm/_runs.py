@@ -177,6 +177,16 @@ def runs(entries: DataFrame, buckets: int, may_pair: Callable, leaders: int = 1)
     return entries.repartition(buckets, "bucket").mapInArrow(_bucket(may_pair, leaders), FOUND)
 
 
+#: Parts of a run in joins by key, so that no task gets all ids of one run.
+SALTS = 8
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of runs joined to what is known of each key."""
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def open_runs(long: DataFrame, labels: DataFrame) -> DataFrame:
     """key, id, root, main of the long runs whose ids are in two components or more; ``main`` is the commonest of a run.
 
@@ -186,7 +196,7 @@ def open_runs(long: DataFrame, labels: DataFrame) -> DataFrame:
     rows = written(rows, "long-runs")
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     spread = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("main")).where("roots > 1")
-    return written(rows.join(spread.select("key", "main"), "key"), "open-runs", rows)
+    return written(_with_keys(rows, spread.select("key", "main")), "open-runs", rows)
 
 
 def crossing(rows: DataFrame, extra: DataFrame) -> DataFrame:
@@ -200,7 +210,7 @@ def crossing(rows: DataFrame, extra: DataFrame) -> DataFrame:
     count = lambda of: [F.sum(F.when(of, 1).otherwise(0)), F.sum(F.when(of, F.col("weight")).otherwise(0))]
     blocks = lambda n, weight: F.greatest(F.ceil(n / BLOCK), F.ceil(weight / BLOCK_BYTES), F.lit(1)).cast("int")
     dealt = rows.groupBy("key").agg(blocks(*count(F.col("ask"))).alias("askings"), blocks(*count(F.lit(True))).alias("askeds"))
-    rows = rows.drop("weight", "main").join(dealt, "key").join(extra.drop("weight"), "id")
+    rows = _with_keys(rows.drop("weight", "main"), dealt).join(extra.drop("weight"), "id")
     own = F.pmod(F.xxhash64("id"), F.col("askings")).cast("int")
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.col("askeds")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
