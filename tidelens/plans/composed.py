@@ -50,3 +50,26 @@ LEFT JOIN {_of("sentiment")} m ON m.document_id = c.document_id LEFT JOIN {_of("
 
 ORACLE["correlation_report"] = f"""SELECT * FROM (SELECT 'pair' AS section, paper_a || '-' || paper_b AS name, score FROM {_of("paper_correlations")} ORDER BY score DESC, name LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'cluster', cluster, coherence FROM {_of("topic_clusters")} ORDER BY coherence DESC, cluster LIMIT 3)"""
+
+
+def _held(text: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _families(families: dict[str, list[str]], kind: str, extra: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, '{kind}' AS kind, count(*) FILTER ({_held(f'x || {extra}', own)}) AS mentions FROM sp" for name, own in families.items())
+
+
+_TERMS = "list_concat(list_filter(list_concat(list_concat(regexp_extract_all(t, '{0}', 1), regexp_extract_all(t, '{0}', 2)), list_concat(regexp_extract_all(t, '{2}', 1), regexp_extract_all(t, '{2}', 2))), lambda w: length(w) > 2), regexp_extract_all(t, '{1}', 1))".format(*K.TECHNICAL_PATTERNS)
+_SCORES = "[" + ", ".join(" + ".join(f"contains(x, '{w}')::INT" for w in own) for own in K.PAPER_DOMAINS.values()) + "]"
+_NAMES = "[" + ", ".join(f"'{n}'" for n in K.PAPER_DOMAINS) + "]"
+
+ORACLE["synthesis"] = (
+    _with("papers", "reports") + f""", sp AS (SELECT paper_id, lower(title || ' ' || abstract) AS x, innovs, ' ' || coalesce(array_to_string(innovs, ' '), '') AS more_i, ' ' || coalesce(array_to_string(impls, ' '), '') AS more_b FROM papers LEFT JOIN reports ON document_id = paper_id),
+    sc AS (SELECT paper_id, innovs, {_SCORES} AS s FROM sp), dm AS (SELECT paper_id, innovs, CASE WHEN list_max(s) = 0 THEN 'general_ai' ELSE ({_NAMES})[list_position(s, list_max(s))] END AS domain FROM sc),
+    tt AS (SELECT unnest(list_distinct({_TERMS})) AS name FROM (SELECT lower(unnest(innovs)) AS t FROM sp)), f AS (SELECT name, 'technical' AS kind, count(*) AS mentions FROM tt GROUP BY name UNION ALL {_families(K.METHOD_FAMILIES, "methodological", "more_i")} UNION ALL {_families(K.APPLICATION_FAMILIES, "application", "more_b")}),
+    tr AS (SELECT kind, name, least(mentions / (SELECT count(*) FROM sp), 1.0::DOUBLE) AS c FROM f WHERE mentions >= 3 AND mentions / (SELECT count(*) FROM sp) >= 0.6), t AS (SELECT count(*) AS trends, avg(c) AS mean, coalesce(stddev_samp(c), 0) AS std, arg_max(name, c) AS top_trend, coalesce(bool_or(kind = 'methodological'), false) AS any_method FROM tr),
+    p AS (SELECT count(*) AS papers, count(DISTINCT domain) AS domains, avg(CASE WHEN innovs IS NULL THEN 0.0 ELSE 1.0 END) AS analyzed FROM dm), d AS (SELECT domain AS dominant_domain FROM dm GROUP BY domain ORDER BY count(*) DESC, domain DESC LIMIT 1)
+    SELECT papers, trends, domains, round((least(papers / 20, 1.0) + least(trends / 10, 1.0) + least(domains / 5, 1.0) + analyzed) / 4, 6) AS quality, round(greatest(0.0::DOUBLE, mean - 1.96 * std), 6) AS confidence_low, round(least(1.0::DOUBLE, mean + 1.96 * std), 6) AS confidence_high,
+    papers < 10 AS small_sample, analyzed < 0.8 AS incomplete, domains <= 1 AS single_domain, papers < 20 AS expand_sample, top_trend, dominant_domain, any_method FROM p, t, d WHERE papers >= 5"""
+)
