@@ -45,6 +45,8 @@ def test_ledger_policies_and_ablations(spark):
         n, chars, symbols, dup, repeat, _ = plain(TEXTS[r["doc_id"]])
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
         assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n) and not (r["base_failed"] and r["kept"])
+        own = r["failed_bits"] & Q.mask(Q.POLICIES["v1"])
+        assert r["ablation_bit"] == (own if own.bit_count() == 1 else 0)
     book = Q.ledger(docs).collect()
     got = {r["rule"]: r for r in Q.ablations(Q.ledger(docs), "v1").collect()}
     mask = Q.mask(Q.POLICIES["v1"])
@@ -66,6 +68,8 @@ def test_fit_finds_a_conjunction_and_compiles_it(spark):
     frame = spark.createDataFrame([tuple(map(float, r)) for r in x[:300]], "a double, b double, c double")
     scores = np.array([r[0] for r in frame.select(model.column(lambda i: F.col("abc"[i]))).collect()])
     assert (((scores >= 0.5) == (y[:300] > 0)).mean()) > 0.98
+    margin = model.intercept + sum(w * R.holds(rule, x[:300]) for rule, w in zip(model.rules, model.weights))
+    assert np.abs(scores - 1 / (1 + np.exp(-margin))).max() < 1e-9  # the compiled column is the fitted model, row by row
     assert len(R.fit(x, np.ones(2000)).rules) == 0 and R.fit(np.zeros((0, 3)), np.zeros(0)).intercept == 0
 
 

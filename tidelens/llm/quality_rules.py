@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
 from ._stats import STATS, with_stats
 
 #: Name and failing condition (over the statistics) of each rule; a rule's place is its bit, so new rules go last.
@@ -79,7 +80,24 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def only_failure(policy: str) -> Column:
+    """The bit of the rule without which the policy would keep the document: that of its only failure (0 if it fails none, or several)."""
+    own = F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.when(F.bit_count(own) == 1, own).otherwise(F.lit(0).cast("long"))
+
+
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: policies and ablations read it, not the texts."""
+    return written(ledger(docs), "quality-ledger")
+
+
 def quality_rules(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The ledger's contract columns with the base verdict and the policy's."""
-    book = apply_policy(ledger(docs), policy).withColumn("base_failed", fails("base"))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & ~F.col("base_failed")).alias("kept"), F.col("failed").alias("failed_bits"))
+    """The ledger's contract columns with the base verdict and the policy's, the failure bits and the ablation bit."""
+    book = apply_policy(stored_ledger(docs), policy).withColumn("base_failed", fails("base"))
+    kept = (F.col("kept") & ~F.col("base_failed")).alias("kept")
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, F.col("failed").alias("failed_bits"), only_failure(policy).alias("ablation_bit"))
+
+
+def quality_ablations(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The ablations of a policy over the documents' stored ledger."""
+    return ablations(stored_ledger(docs), policy)

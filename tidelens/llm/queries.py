@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -44,13 +46,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", oracles.quality_rules())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("quality_ablations", oracles.quality_ablations())
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4's ablations: what each rule of the policy rejects, alone or with others."""
+    from .quality_rules import quality_ablations as ablations
+
+    return ablations(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rule_ensemble import quality_classifier
@@ -65,7 +75,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
 
-@query("op3_secret_scan")
+@query("op3_secret_scan", oracles.secret_scan())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -79,7 +89,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", oracles.jaccard_join())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -93,7 +103,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars")
 
 
-@query("op6_repeated_bytes")
+@query("op6_repeated_bytes", oracles.repeated_bytes())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeated_bytes import repeated_bytes
 

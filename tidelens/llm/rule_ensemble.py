@@ -146,14 +146,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> RuleModel:
-    """Fit on at most ``most`` labelled rows; only their texts are read, by a broadcast of their ids (bounded by ``most``)."""
+    """Fit on at most ``most`` labelled documents; only their texts are read, by a broadcast of their ids (bounded by ``most``).
+
+    Of rows that share a doc_id the least text stands for it, so the sample is the same in every run.
+    """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = with_stats(rows, "stats").select("label", *(F.expr(_over(e, "stats")).alias(n) for n, e in FEATURES.items())).limit(2 * most).toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = with_stats(rows, "stats").select("label", *(F.expr(_over(e, "stats")).alias(n) for n, e in FEATURES.items())).toPandas()
     return fit(sample[list(FEATURES)].to_numpy(float), sample["label"].to_numpy(float))
 
 

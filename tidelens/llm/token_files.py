@@ -160,8 +160,11 @@ def tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     size = shards.select("part", "shard", "n_tokens")
     files = size.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("file_at", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     base = size.withColumn("at", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).join(files, "part").select("part", "shard", (F.col("file_at") + F.col("at")).alias("base"), "n_tokens")
-    wanted = places.select(F.col("place").cast("long")).join(base, (F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("n_tokens")))
-    wanted = wanted.select("part", "shard", "place", (F.col("place") - F.col("base")).alias("offset"))
+    # A shard stands in each stretch of ``SHARD_TOKENS`` places that it reaches, so places and shards meet by an equality.
+    stretch = lambda place: F.floor(place / SHARD_TOKENS)
+    base = base.where("n_tokens > 0").withColumn("stretch", F.explode(F.sequence(stretch(F.col("base")), stretch(F.col("base") + F.col("n_tokens") - 1))))
+    wanted = places.select(F.col("place").cast("long"), stretch(F.col("place").cast("long")).alias("stretch")).join(base, "stretch")
+    wanted = wanted.where((F.col("place") >= F.col("base")) & (F.col("place") < F.col("base") + F.col("n_tokens"))).select("part", "shard", "place", (F.col("place") - F.col("base")).alias("offset"))
 
     def run(batches):
         for batch in batches:
