@@ -90,3 +90,91 @@ def test_items_with_few_literals(spark):
     got = {(r["doc_id"], r["item_id"]) for r in contaminated_pairs(docs, bench).collect()}
     assert {(10 * i + k, i) for i in range(len(items)) for k in range(3)} <= got
     assert not {d for d, _ in got} & {100, 101, 102, 103}
+
+
+def brute(docs, bench):
+    """The definition, window by window, in plain Python."""
+    import regex
+
+    from tidelens.llm import decontamination as D
+
+    def canon(t):
+        t = regex.sub(r"\p{N}++(?:[.,:/]\p{N}++)*+", D.NUMBER, t)
+        t = regex.sub(rf"(?<={D.NUMBER})([ \t-]?)(?:(?i:{D.UNITS})\b|[%$€£°])", lambda m: m[1] + D.UNIT, t)
+        t = regex.sub(r"(?=\p{Lu})(?<=[^.!?:\s][ \t])\p{Lu}[\p{L}\p{M}'’-]*+", D.NAME, t)
+        return regex.sub(rf"[^\p{{L}}\p{{M}}\s{D.NUMBER}{D.UNIT}{D.NAME}]++", "", t.lower())
+
+    def value(w):
+        w = regex.sub(r"[^\p{L}\p{M}\p{N}.,:/]++", "", w)
+        return regex.sub(r"(?<!\p{N})[.,:/]++|[.,:/]++(?!\p{N})", "", w).lower()
+
+    held = lambda w: any(x in w for x in (D.NUMBER, D.UNIT, D.NAME))
+
+    def aligned(t):
+        both = [(c, r) for c, r in zip(regex.split(r"[ \t\n\x0B\f\r]+", canon(t)), regex.split(r"[ \t\n\x0B\f\r]+", t)) if c]
+        return [c for c, _ in both], [value(r) if held(c) else c for c, r in both]
+
+    out = set()
+    by_doc = {}
+    for d, t in docs:
+        if t is not None:
+            by_doc.setdefault(d, []).append(aligned(t))
+    for i, t in bench:
+        if t is None:
+            continue
+        c, r = aligned(t)
+        if not c:
+            continue
+        size = min(len(c), D.WINDOW)
+        places = range(len(c) - size + 1)
+        typed = {p: len(c) >= D.SHORTEST and sum(not held(w) for w in c[p : p + size]) >= min(D.LITERALS, size) for p in places}
+        for d, texts in by_doc.items():
+            hits = []
+            for dc, dr in texts:
+                for q in range(len(dc) - size + 1):
+                    windows = {tuple(dc[q : q + size]), tuple(dr[q : q + size])}
+                    for p in places:
+                        if typed[p] and tuple(c[p : p + size]) in windows or tuple(r[p : p + size]) in windows:
+                            hits.append((q - p, p, tuple(zip(dc[q : q + size], r[p : p + size], dr[q : q + size]))))
+            slots = {}
+            for shift, _, pairs in hits:
+                for template, a, b in pairs:
+                    if held(template):
+                        slots.setdefault(shift, {}).setdefault(a, set()).add(b)
+            kept = {p for shift, p, pairs in hits if all(a == b for _, a, b in pairs) or all(len(v) == 1 for v in slots.get(shift, {}).values())}
+            n_typed = sum(typed.values())
+            coverage = max(len(kept) / len(places), sum(typed[p] for p in kept) / n_typed if n_typed else 0)
+            if kept and (coverage >= D.COVERAGE or len(kept) >= D.RUN):
+                out.add((d, i))
+    return out
+
+
+def test_pairs_equal_brute_force(spark):
+    """What must be found and what must not: verbatim, re-parameterised and inconsistently changed passages among unlike texts."""
+    import random
+    import re
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    names = ["Alice", "Boston", "Carol", "Denver", "Ella"]
+    word = lambda: rng.choice(words) if rng.random() < 0.75 else rng.choice([str(rng.randrange(1, 99)), rng.choice(names), f"{rng.randrange(9)} hours"])
+    items = [" ".join(word() for _ in range(rng.choice([1, 3, 5, 8, 9, 12, 20, 30]))) for _ in range(40)]
+    docs = []
+    for d in range(160):
+        item = rng.choice(items)
+        how = rng.randrange(5)
+        if how == 1:  # re-parameterised: every number stands for one other
+            item = re.sub(r"\d+", lambda m: str(int(m[0]) + 3), item)
+        elif how == 2:  # changed at random
+            item = re.sub(r"\d+", lambda m: str(rng.randrange(1, 99)), item)
+        elif how == 3:  # a part of it
+            own = item.split()
+            item = " ".join(own[rng.randrange(len(own)) :])
+        elif how == 4:
+            item = ""
+        docs.append((d if d % 40 else 7, " ".join(word() for _ in range(rng.randrange(30))) + " " + item + ", " + " ".join(word() for _ in range(rng.randrange(30)))))
+    bench = list(enumerate(items))
+    got = contaminated_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute(docs, bench)
+    assert any(r["reworded"] for r in got)
+    assert sorted({d for d, _ in brute(DOCS, BENCH)}) == [1, 2, 5, 8]
