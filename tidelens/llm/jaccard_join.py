@@ -95,12 +95,12 @@ def points_of(column) -> np.ndarray:
     """Packed points as rows of a matrix of ``GROUPS`` counts: finer groups are summed."""
     rows = column.to_pylist()
     size = np.array([len(r) for r in rows], np.int64)
-    out = np.zeros((len(rows), GROUPS), np.uint16 if (size > GROUPS).any() else np.uint8)
+    out = np.zeros((len(rows), GROUPS), np.uint32 if (size > GROUPS).any() else np.uint8)
     for n in np.unique(size).tolist():
         own = np.flatnonzero(size == n)
         counts = np.frombuffer(b"".join(rows[k] for k in own.tolist()), np.uint8).reshape(len(own), GROUPS, n // GROUPS)
         out[own] = counts[:, :, 0] if n == GROUPS else counts.sum(2, dtype=np.int64)
-    return out
+    return out.astype(np.uint16) if out.dtype == np.uint32 and out.max() < 1 << 16 else out
 
 
 def finer_bound(a: bytes, b: bytes) -> int:
