@@ -579,3 +579,21 @@ def corpus_footprint(spark, d):
 
     out = readers.footprint(spark, f"{d}/documents.parquet")
     return out.select((F.col("files") > 0).alias("any_files"), (F.col("megabytes") > 0).alias("any_bytes"))
+
+
+@query("waiting_analyses", ("papers",), ", w AS (SELECT paper_id, abstract FROM papers WHERE trim(abstract) <> '' AND paper_id NOT IN (SELECT doc_id FROM labels) ORDER BY created_at DESC, paper_id LIMIT 40) SELECT paper_id AS document_id, len(regexp_extract_all(abstract, '[\\p{L}\\p{N}]+(?:[’-][\\p{L}\\p{N}]+)*|[^\\s\\p{L}\\p{N}]')) AS word_count FROM w")
+def waiting_analyses(spark, d):
+    """The newest contents without analysis are analysed."""
+    done = B.table(spark, d, "labels").select(F.col("doc_id").alias("content_id"))
+    return _rounded(analysis.analysis_cycle(B.contents(spark, d), done, 40).select("document_id", "word_count"))
+
+
+@query("mended_reports", ("reports", "papers"), ", c AS (SELECT document_id, trim(lower(unnest(contribs))) AS c FROM reports), t AS (SELECT paper_id, lower(trim(replace(title, chr(10), ' '))) AS t FROM papers WHERE paper_id % 2 = 0), g AS (SELECT DISTINCT document_id FROM c JOIN t ON t.paper_id = c.document_id WHERE contains(c, t) OR contains(t, c)) SELECT r.document_id, g.document_id IS NOT NULL AS generic, CASE WHEN g.document_id IS NULL THEN array_to_string(contribs, '|') END AS kept FROM reports r LEFT JOIN g ON g.document_id = r.document_id")
+def mended_reports(spark, d):
+    """Reports that only repeat titles get their lists from the abstracts; the others keep theirs."""
+    p = B.papers(spark, d).where(F.pmod("paper_id", F.lit(2)) == 0).select(F.col("paper_id").alias("document_id"), F.lit(0).alias("at"), "title", "abstract")
+    r = B.reports(spark, d)
+    flagged = search.generic_reports(r, p).select("document_id", F.lit(True).alias("generic"))
+    out = rubric.replace_generic(r, p).join(flagged, "document_id", "left")
+    generic = F.coalesce("generic", F.lit(False))
+    return out.select("document_id", generic.alias("generic"), F.when(~generic, F.array_join("novel_contributions", "|")).alias("kept"))

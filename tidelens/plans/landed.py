@@ -213,3 +213,14 @@ def streamed_measures(spark, d):
     stream = jobs.analyzed(jobs.landed(spark, path, "id long, content string", 100_000)).select("id", "word_count", "sentence_count")
     jobs.ingest(stream, out, _folder(spark, "stream-state")).awaitTermination()
     return _rounded(spark.read.schema("id long, word_count int, sentence_count int").parquet(out))
+
+
+@query("saved_reports", ("rr",), "SELECT document_id AS id FROM rr WHERE document_id % 3 > 0 AND document_id % 4 > 0")
+def saved_reports(spark, d):
+    """Saved reports that have both papers and analysis, changed since a time."""
+    k = F.col("document_id")
+    saved = B.reports(spark, d).select(k.alias("id"), F.when(F.pmod(k, F.lit(3)) > 0, F.array(F.lit("p"))).alias("papers"), F.when(F.pmod(k, F.lit(4)) > 0, F.struct(F.lit("a").alias("text"))).alias("analysis"))
+    path = _folder(spark, "saved-reports")
+    files = saved.groupBy(F.pmod("id", F.lit(8)).alias("bucket")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("id", "papers", "analysis"))), ",\n"), F.lit("]")).alias("value"))
+    files.write.partitionBy("bucket").text(path)  # each file is one list of reports over many lines
+    return readers.recent_reports(spark, path, "id long, papers array<string>, analysis struct<text:string>", "2020-01-01T00:00:00").select("id")
