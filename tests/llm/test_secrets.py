@@ -73,7 +73,43 @@ def test_matches_satisfy_their_query(pattern, data):
     assert test(S.trigram_query(pattern))
 
 
-def test_postings_and_empty(spark):
-    docs = spark.createDataFrame([(1, "My TOKEN"), (2, None)], "doc_id long, text string")
-    assert {r["trigram"] for r in S.postings(docs).collect()} == {"tok", "oke", "ken"}
+def test_postings_are_intersected(spark):
+    docs = spark.createDataFrame([(1, "My TOKEN"), (2, None), (3, "tok oke ken"), (None, "AKIA pass word")], "doc_id long, text string")
+    index = S.postings(S.keyed(docs))
+    texts = ["my token", "tok oke ken", "akia pass word"]
+    assert {r["trigram"] for r in index.collect()} == {w for w in S.dictionary() if any(w in t for t in texts)} >= {"tok", "oke", "ken", "aki", "pas", "ord"}
+    found = S.candidates(index).join(S.keyed(docs), "key").collect()
+    assert {r["doc_id"]: r["rules"] for r in found} == {1: 1, 3: 1, None: 2}
     assert S.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_missing_ids(spark):
+    text = "token=abcdefgh"
+    rows = S.secret_scan(spark.createDataFrame([(None, text), (None, text), (5, text), (5, "none")], "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_assign"]) for r in rows) == [("5", 0), ("5", 1), ("None", 1), ("None", 1)]
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, [rng.randrange(9) for _ in range(n)]) for k, n in enumerate([1, 2, 7, 8, 9, 64, 65, 300])]
+    got = spark.createDataFrame(rows, "id int, x array<long>").select("id", S.running(F.col("x"), 8).alias("s")).collect()
+    for r in got:
+        x = dict(rows)[r["id"]]
+        assert r["s"] == [sum(x[:k]) for k in range(len(x))]
+
+
+def test_work_grows_with_the_matches(spark):
+    """Four times the matches of one text take nowhere near the sixteen times that their square would."""
+    import time
+
+    took = []
+    for n in (5_000, 5_000, 20_000):
+        docs = spark.createDataFrame([(1, "token=abcdefgh, " * n)], "doc_id long, text string")
+        began = time.time()
+        assert S.secret_scan(docs).first()["n_assign"] == n
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 2

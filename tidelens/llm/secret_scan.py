@@ -1,18 +1,20 @@
-"""Operator 3: secret scan behind a trigram index, in DataFrame functions only.
+"""Operator 3: secret scan behind a trigram inverted index, in DataFrame functions only.
 
 For each rule a Boolean trigram query is derived from its regular expression: literals and small
 character classes expand to strings, alternatives become OR, sequences AND, and a part that fixes no
-trigram asks for nothing. The index is kept by document: a document's entry is the bitmap of the posting
-lists (of the trigrams that some query names) on which it stands, so intersecting postings is a test of
-bits and needs no shuffle; ``postings`` gives the same index by trigram. Candidates are verified with the
-rule's expression over the whole text. A rule without a mandatory trigram scans every text.
+trigram asks for nothing. The index holds, for every trigram that some query names, the list of the rows with it
+(``postings``, written to the shared folder). Intersecting gathers a row's places on the lists as bits, one aggregate for all queries,
+and tests each query on them (``candidates``). Candidates are verified with the rule's expression over the whole text. A rule
+without a mandatory trigram scans every text.
 
 Spans are code points, end exclusive. They come from marking matches and measuring the parts between
 marks; the two mark characters are first replaced in the text by another control character, which no
-rule can match either, so places stay right.
+rule can match either, so places stay right. Starts are running sums over the parts, taken in chunks, so the work grows with
+the matches of a text, not with their square.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned each; extra columns are
-ignored; an empty table gives no rows.
+A row is known to the index by a hash of its doc_id and text; rows that share one are candidates together, which
+verification settles. Defined cases: a null or empty text has no spans; repeated rows and rows without doc_id are
+scanned each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ._shared import written
+
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 MOST_STRINGS = 64
 #: Kinds in order, with the expression of each, and the group and length that a match must reach.
@@ -133,17 +138,7 @@ def trigrams(query) -> set[str]:
 
 def dictionary(rules=RULES) -> list[str]:
     """All trigrams that the rules' queries name; a trigram's place is its bit."""
-    out = sorted(set().union(*(trigrams(trigram_query(p)) for _, p, _, _ in rules)))
-    if len(out) > 63 * 8:
-        raise ValueError("too many trigrams for the bitmaps")
-    return out
-
-
-def _entry(text: Column, words: list[str]) -> Column:
-    """A document's entry of the index: longs of 63 bits."""
-    low = F.lower(text)
-    groups = [words[k : k + 63] for k in range(0, len(words), 63)]
-    return F.array(*(reduce(lambda a, b: a + b, (F.when(F.contains(low, F.lit(w)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, w in enumerate(g))) for g in groups))
+    return sorted(set().union(*(trigrams(trigram_query(p)) for _, p, _, _ in rules)))
 
 
 def candidate(query, entry: Column, words: list[str]) -> Column:
@@ -171,28 +166,55 @@ def candidate(query, entry: Column, words: list[str]) -> Column:
     return test(query)
 
 
-def postings(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The index by trigram: (trigram, doc_id) for the trigrams that the rules name."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text without the marks, and the key by which the index knows a row."""
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), OPEN + CLOSE, OTHER * 2)
+    return docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def postings(rows: DataFrame, rules=RULES) -> DataFrame:
+    """The inverted index of rows (key, text): (trigram, key) for the trigrams that the rules name."""
+    held = F.filter(F.array(*map(F.lit, dictionary(rules))), lambda w: F.contains(F.col("low"), w))
+    return rows.select("key", F.lower("text").alias("low")).select(F.explode(held).alias("trigram"), "key")
+
+
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(key, rules): the rows whose posting lists satisfy some query; bit k says that rule k's query is satisfied."""
     words = dictionary(rules)
-    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("low"), w))
-    return docs.select("doc_id", low.alias("low")).select(F.explode(held).alias("trigram"), "doc_id")
+    place = F.array_position(F.array(*map(F.lit, words)), F.col("trigram")) - 1
+    groups = range(0, len(words), 63)
+    lists = [F.bit_or(F.when(F.col("place").between(g, g + 62), F.expr(f"shiftleft(1L, cast(place - {g} as int))")).otherwise(F.lit(0).cast("long"))) for g in groups]
+    entries = index.withColumn("place", place).groupBy("key").agg(F.array(*lists).alias("entry"))
+    queries = [(rank, trigram_query(pattern)) for rank, (_, pattern, _, _) in enumerate(rules)]
+    masks = [F.when(candidate(q, F.col("entry"), words), F.lit(1 << rank)).otherwise(F.lit(0)).cast("long") for rank, q in queries if q is not None]
+    return entries.select("key", reduce(lambda a, b: a + b, masks, F.lit(0).cast("long")).alias("rules")).where("rules != 0")
+
+
+def running(sizes: Column, chunk: int = 128) -> Column:
+    """For an array of numbers the sum of those before each, chunk by chunk."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+    within = lambda c, before: F.transform(c, lambda _, k: before + total(F.slice(c, 1, k)))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / chunk).cast("int")), lambda i: F.slice(s, i * chunk + 1, chunk))
+    joined = lambda chunks, sums: F.flatten(F.transform(chunks, lambda c, i: let(total(F.slice(sums, 1, i)), lambda before: within(c, before))))
+    return let(sizes, lambda s: let(cut(s), lambda chunks: let(F.transform(chunks, total), lambda sums: joined(chunks, sums))))
+
+
+SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
 def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, rank, end, kind) of a rule's matches that are long enough."""
+    """Array of (start, rank, end, kind) of a rule's matches that are long enough: every second part lies between marks."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
+    enough = lambda part: F.char_length(F.regexp_extract(part, pattern, group) if group else part) >= least
 
-    def step(acc: Column, part: Column) -> Column:
-        size = F.char_length(part).cast("long")
-        value = F.regexp_extract(part, pattern, group) if group else part
-        span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), (acc["at"] + size).alias("end"), F.lit(kind).alias("kind"))
-        found = F.when(acc["match"] & (F.char_length(value) >= least), F.array_append(acc["found"], span)).otherwise(acc["found"])
-        return F.struct((acc["at"] + size).alias("at"), (~acc["match"]).alias("match"), found.alias("found"))
+    def span(part: Column, start: Column, k: Column) -> Column:
+        own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.char_length(part)).alias("end"), F.lit(kind).alias("kind"))
+        return F.when((k % 2 == 1) & enough(part), own)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("match"), none.alias("found"))
-    return F.aggregate(parts, start, step)["found"]
+    sizes = lambda p: F.transform(p, lambda x: F.char_length(x).cast("long"))
+    found = lambda p: let(running(sizes(p)), lambda at: F.filter(F.transform(p, lambda x, k: span(x, F.get(at, k), k)), lambda x: x.isNotNull()))
+    none = F.array().cast(SPANS)
+    return let(parts, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(none))
 
 
 def _equal(kind: str):
@@ -205,12 +227,14 @@ def _joined(spans: Column) -> Column:
 
 def secret_scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row."""
-    words = dictionary(rules)
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), OPEN + CLOSE, OTHER * 2)
-    indexed = docs.select("doc_id", text.alias("text")).withColumn("entry", _entry(F.col("text"), words))
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
-    found = [F.when(candidate(trigram_query(pattern), F.col("entry"), words), _spans(F.col("text"), rank, kind, pattern, group, least)).otherwise(none) for rank, (kind, pattern, group, least) in enumerate(rules)]
-    spans = indexed.select("doc_id", F.array_sort(F.concat(*found)).alias("all"))
-    out = spans.withColumn("base", F.filter("all", lambda s: s["kind"].isin(*BASE)))
+    rows = keyed(docs)
+    index = written(postings(rows, rules).sortWithinPartitions("trigram"), "postings")
+    asked = rows.join(candidates(index, rules), "key", "left")
+    none = F.array().cast(SPANS)
+    found = []
+    for rank, (kind, pattern, group, least) in enumerate(rules):
+        spans = _spans(F.col("text"), rank, kind, pattern, group, least)
+        found.append(spans if trigram_query(pattern) is None else F.when(F.col("rules").bitwiseAND(1 << rank) != 0, spans).otherwise(none))
+    out = asked.select("doc_id", F.array_sort(F.concat(*found)).alias("all")).withColumn("base", F.filter("all", lambda s: s["kind"].isin(*BASE)))
     counts = [F.size(F.filter(F.col("base")["kind"], _equal(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
