@@ -16,11 +16,15 @@ the same bounded length:
    sort of the symbols, and updates the common prefixes by range minima. When a column stands, neighbours
    with LENGTH common bytes are equal strings, and all but the first of them are covered.
 
+A gram that stands in very many contexts (shared passages are cut differently in every document) is hot:
+its strings of LENGTH bytes are named by hashes instead and go through step 1 as contexts of their own. A slice that
+finds a hot gram sends one mark to the gram's bucket, so what meets there grows with the slices only.
+
 Between rounds of jobs everything lies in shuffle files and tables of the shared folder.
 
-Defined cases: null and empty texts, and texts under LENGTH bytes, lose nothing; doc_id identifies a
-document, so rows that share one count as one place and lose what any of them loses; a null doc_id comes
-first; extra columns are ignored; an empty table gives no rows.
+Defined cases: null and empty texts, and texts under LENGTH bytes, lose nothing. Rows that share a doc_id
+(a missing one counts as the least) and start a string at the same place start it at once: neither is earlier, so
+a repeated row loses what its first row loses. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
-from ._text import mix, slices, text_buffer
+from ._text import mix, slices, text_buffer, trim
 from .line_dedup import powers
 
 LENGTH, GRAM = 100, 32
@@ -43,7 +47,12 @@ BUCKET_BYTES = 400_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 NO_ID = np.iinfo(np.int64).min
-FOUND = "covered boolean, key long, doc_id long, start long, end long"
+#: Contexts of a gram that a slice sends, and that a bucket takes, before the gram is hot.
+LOCAL, HOT = 64, 20_000
+#: A place in a text and the low bits of the text's hash, which tells rows of one doc_id apart.
+ROW_BITS = np.int64(32)
+FOUND = "kind int, key long, doc_id long, row long, start long, end long"
+COVERED, CONTEXTS, STRINGS = range(3)
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,14 +95,19 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
 
 
-def _rows(bucket: np.ndarray, columns: list[np.ndarray], names: tuple[str, ...]) -> pa.RecordBatch:
-    """One packed row for each bucket: every column's bytes."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    columns = [c[order] for c in columns]
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
-    spans = list(zip(bounds[:-1], bounds[1:]))
-    return pa.RecordBatch.from_arrays([pa.array(bucket[bounds[:-1]] if spans else [], pa.int32()), *(pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns)], names=["bucket", *names])
+def _rows(*groups: tuple[np.ndarray, dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """One packed row for each bucket: the bytes of every column. A group is its rows' buckets and its columns by name."""
+    every = np.unique(np.concatenate([bucket for bucket, _ in groups]))
+    columns, names = [pa.array(every.astype(np.int32))], ["bucket"]
+    for bucket, group in groups:
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        spans = list(zip(np.searchsorted(bucket, every).tolist(), np.searchsorted(bucket, every, "right").tolist()))
+        for name, column in group.items():
+            own = column[order]
+            columns.append(pa.array([own[a:b].tobytes() for a, b in spans], pa.binary()))
+            names.append(name)
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _gathered(batches, kinds: dict[str, type]) -> dict[str, np.ndarray]:
@@ -105,83 +119,163 @@ def _gathered(batches, kinds: dict[str, type]) -> dict[str, np.ndarray]:
 
 
 ENTRY = {"gram": np.uint64, "context": np.uint64, "doc": np.int64, "at": np.int64}
+PASSED = {"passed_key": np.uint64, "passed_doc": np.int64, "passed_at": np.int64}
+
+
+def _place(at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places that sort by their place in the text first."""
+    return (at.astype(np.int64) << ROW_BITS) | row
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """For sorted rows, whether each differs from the one before."""
+    n = len(columns[0])
+    out = np.ones(n, bool)
+    if n:
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _later(gram, context, doc, at) -> tuple[np.ndarray, np.ndarray]:
+    """For entries sorted by all four: which are kept, and which start later than the first of their gram and context."""
+    first = np.flatnonzero(_new(gram, context))
+    size = np.diff(np.append(first, len(gram)))
+    same = (doc == np.repeat(doc[first], size)) & (at >> ROW_BITS == np.repeat(at[first] >> ROW_BITS, size))
+    return _new(gram, context, doc, at) & same, ~same
+
+
+def _entries(gram, context, ids, at, buckets: int, local: int = LOCAL) -> pa.RecordBatch:
+    """A slice's entries by bucket of the gram; those that are settled already, and all of its hot grams, go to any."""
+    order = np.lexsort((at, ids, context, gram))
+    gram, context, ids, at = gram[order], context[order], ids[order], at[order]
+    keep, later = _later(gram, context, ids, at)
+    settled = [(np.zeros(int(later.sum()), np.uint64), ids[later], at[later])]
+    gram, context, ids, at = (x[keep] for x in (gram, context, ids, at))
+    first = np.flatnonzero(_new(gram))
+    size = np.diff(np.append(first, len(gram)))
+    hot = np.repeat(size > local, size)
+    settled.append((gram[hot] | np.uint64(1), ids[hot], at[hot]))
+    mark = gram[first[size > local]] & ~np.uint64(1)
+    none = np.zeros(len(mark), np.int64)
+    entries = [np.concatenate(x) for x in ((gram[~hot] | np.uint64(1), mark), (context[~hot], none.astype(np.uint64)), (ids[~hot], none), (at[~hot], none))]
+    passed = [np.concatenate(x) for x in zip(*settled)]
+    spread = mix(passed[1].astype(np.uint64) + passed[2].astype(np.uint64))
+    to = [((x >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for x in (entries[0], spread)]
+    return _rows((to[0], dict(zip(ENTRY, entries))), (to[1], dict(zip(PASSED, passed))))
 
 
 def _anchor_entries(buckets: int):
     def run(batches):
         for batch in slices(batches, most=2_000_000):
             doc, at, gram, context = anchors(*text_buffer(batch.column("text")))
-            if not len(doc):
-                continue
-            ids = _ids(batch.column("doc_id"))[doc]
-            order = np.lexsort((at, ids, context, gram))
-            gram, context, ids, at = gram[order], context[order], ids[order], at[order]
-            again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])])
-            # Equal contexts after the slice's first are covered already: gram 0 says so, and they go anywhere.
-            place = np.where(again, mix(ids.astype(np.uint64) + at.astype(np.uint64)), gram) >> np.uint64(33)
-            yield _rows((place % np.uint64(buckets)).astype(np.int32), [np.where(again, np.uint64(0), gram | np.uint64(1)), np.where(again, np.uint64(0), context), ids, at], tuple(ENTRY))
+            if len(doc):
+                yield _entries(gram, context, _ids(batch.column("doc_id"))[doc], _place(at, batch.column("row").to_numpy()[doc]), buckets)
 
     return run
 
 
-def _found(covered: bool, key, doc, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), covered)), pa.array(key.astype(np.int64)), pa.array(doc), pa.array(start), pa.array(end)], names=["covered", "key", "doc_id", "start", "end"])
+def _found(kind: int, key, doc, at, start, end) -> pa.RecordBatch:
+    """Spans that start and end so many bytes from the places ``at``."""
+    place = at >> ROW_BITS
+    columns = [np.full(len(doc), kind, np.int32), key.astype(np.int64), doc, at & np.int64(0xFFFFFFFF), place + start, place + end]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "doc_id", "row", "start", "end"])
 
 
-def _anchor_buckets(batches):
-    e = _gathered(batches, ENTRY)
-    gram, context, doc, at = e["gram"], e["context"], e["doc"], e["at"]
-    done = gram == 0
-    if done.any():
-        yield _found(True, np.zeros(int(done.sum()), np.int64), doc[done], at[done] - SIDE, at[done] + GRAM + SIDE)
-        gram, context, doc, at = gram[~done], context[~done], doc[~done], at[~done]
-    order = np.lexsort((at, doc, context, gram))
+def _judged(e: dict[str, np.ndarray], before: int, after: int):
+    """What a bucket of entries tells: spans from ``before`` to ``after`` around later ones, and the places of grams with several contexts."""
+    key, doc, at = (e[k] for k in PASSED)
+    done = key == 0
+    yield _found(COVERED, key[done], doc[done], at[done], before, after)
+    yield _found(STRINGS, key[~done], doc[~done], at[~done], 0, 0)
+    gram, context, doc, at = (e[k] for k in ENTRY)
+    order = np.lexsort((at, doc, context, gram | np.uint64(1)))
     gram, context, doc, at = gram[order], context[order], doc[order], at[order]
-    if not len(gram):
-        return
-    same_gram = np.concatenate([[False], gram[1:] == gram[:-1]])
-    again = same_gram & np.concatenate([[False], context[1:] == context[:-1]])
-    yield _found(True, np.zeros(int(again.sum()), np.int64), doc[again], at[again] - SIDE, at[again] + GRAM + SIDE)
-    gram, doc, at = gram[~again], doc[~again], at[~again]
-    several = np.concatenate([[False], gram[1:] == gram[:-1]])
-    several |= np.concatenate([several[1:], [False]])
-    yield _found(False, gram[several].astype(np.int64), doc[several], at[several], at[several])
+    first = np.flatnonzero(_new(gram | np.uint64(1)))
+    size = np.diff(np.append(first, len(gram)))
+    marked = np.repeat(np.bitwise_and.reduceat(gram & np.uint64(1), first) == 0, size) if len(gram) else np.zeros(0, bool)
+    real = (gram & np.uint64(1)) > 0
+    gram, context, doc, at, marked = gram[real], context[real], doc[real], at[real], marked[real]
+    keep, later = _later(gram, context, doc, at)
+    yield _found(COVERED, gram[later], doc[later], at[later], before, after)
+    gram, context, doc, at, marked = gram[keep], context[keep], doc[keep], at[keep], marked[keep]
+    first = np.flatnonzero(_new(gram))
+    size = np.diff(np.append(first, len(gram)))
+    contexts = np.add.reduceat(_new(gram, context).astype(np.int64), first) if len(gram) else size
+    hot = np.repeat(size > HOT, size) | marked
+    several = np.repeat(contexts > 1, size) & ~hot
+    yield _found(CONTEXTS, gram[several], doc[several], at[several], 0, 0)
+    yield _found(STRINGS, gram[hot], doc[hot], at[hot], 0, 0)
+
+
+def _anchor_buckets(batches):
+    yield from _judged(_gathered(batches, ENTRY | PASSED), -SIDE, GRAM + SIDE)
+    trim()
 
 
 CONTEXT = {"doc": np.int64, "at": np.int64, "left": np.int8, "right": np.int8, "bytes": np.uint8}
 
 
-def _context_entries(buckets: int):
+def _asked_entries(buckets: int):
+    """The asked contexts of each slice by bucket of the gram, their bytes compressed; of hot grams the names of all their strings."""
+
     def run(batches):
+        codec = pa.Codec("zstd", 1)
         for batch in slices(batches, most=2_000_000):
             buf, off = text_buffer(batch.column("text"))
-            ids, ats, keys = _ids(batch.column("doc_id")), batch.column("ats"), batch.column("keys")
+            ids, rows, ats, keys = _ids(batch.column("doc_id")), batch.column("row").to_numpy(), batch.column("ats"), batch.column("keys")
             doc = np.repeat(np.arange(len(ids)), [len(a) for a in ats])
-            at, key = ats.flatten().to_numpy(), keys.flatten().to_numpy().astype(np.uint64)
-            inside = at + GRAM <= (off[doc + 1] - off[doc])
-            doc, at, key = doc[inside], at[inside], key[inside]
-            begin = off[doc] + at - SIDE
-            left, right = np.minimum(SIDE, at), np.minimum(SIDE, off[doc + 1] - off[doc] - at - GRAM)
+            at, key, kind = ats.flatten().to_numpy(), keys.flatten().to_numpy().astype(np.uint64), batch.column("kinds").flatten().to_numpy()
+            size = off[doc + 1] - off[doc]
+            strings = np.flatnonzero(kind == STRINGS)
+            for a in range(0, len(strings), 10_000):
+                own = np.repeat(strings[a : a + 10_000], SIDE + 1)
+                start = at[own] - np.tile(np.arange(SIDE + 1), min(10_000, len(strings) - a))
+                ok = (start >= 0) & (start + LENGTH <= size[own])
+                own, start = own[ok], start[ok]
+                begin, once = np.unique(off[doc[own]] + start, return_index=True)  # places that several hot grams share, once
+                own, start = own[once], start[once]
+                if len(own):
+                    name = _string_names(buf, begin)
+                    yield _with_all(_entries(name, name, ids[doc[own]], _place(start, rows[doc[own]]), buckets, len(own)))
+            own = np.flatnonzero(kind == CONTEXTS)
+            left, right = np.minimum(SIDE, at[own]), np.minimum(SIDE, size[own] - at[own] - GRAM)
+            begin = off[doc[own]] + at[own] - SIDE
             padded = np.concatenate([np.zeros(SIDE, np.uint8), buf, np.zeros(WIDTH, np.uint8)])
-            place = ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-            for a in range(0, len(doc), 100_000):
+            to = ((key[own] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+            for a in range(0, len(own), 100_000):
                 s = slice(a, a + 100_000)
                 context = padded[(begin[s] + SIDE)[:, None] + np.arange(WIDTH)]
-                yield _packed_contexts(place[s], ids[doc[s]], at[s], left[s], right[s], context)
+                packed = _rows((to[s], dict(zip(CONTEXT, (ids[doc[own[s]]], _place(at[own[s]], rows[doc[own[s]]]), left[s].astype(np.int8), right[s].astype(np.int8), context)))))
+                raw = packed.column("bytes").to_pylist()
+                small = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+                yield _with_all(packed.set_column(packed.schema.get_field_index("bytes"), "bytes", small))
 
     return run
 
 
-def _packed_contexts(place, ids, at, left, right, context) -> pa.RecordBatch:
-    """As ``_rows``, with the contexts' bytes compressed."""
-    batch = _rows(place, [ids, at, left.astype(np.int8), right.astype(np.int8), context], tuple(CONTEXT))
-    codec = pa.Codec("zstd", 1)
-    own = batch.column("bytes").to_pylist()
-    return batch.set_column(batch.schema.get_field_index("bytes"), "bytes", pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in own], pa.binary()))
+def _string_names(buf: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of LENGTH bytes that begin at these places."""
+    up, down = powers(_BASE, len(buf)), powers(_INVERSE, len(buf))
+    prefix = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=prefix[1:])
+    return mix((prefix[begin + LENGTH] - prefix[begin]) * down[begin])
+
+
+def _with_all(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A packed batch with every column that a bucket of the second step may have."""
+    names = [f"{n}_of_string" if n in ENTRY and "gram" in batch.schema.names else n for n in batch.schema.names]
+    have = dict(zip(names, batch.columns))
+    empty = pa.array([b""] * batch.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([have.get(n, empty) for n in ASKED_NAMES], names=ASKED_NAMES)
 
 
-def equal_strings(text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """For contexts in order of place (n x WIDTH bytes): whether the string of LENGTH bytes at each of the first columns occurs in an earlier context.
+ASKED_NAMES = ["bucket", *CONTEXT, *(f"{n}_of_string" for n in ENTRY), *PASSED]
+
+
+def equal_strings(text: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For contexts in order of place (n x WIDTH bytes): whether the string of LENGTH bytes at each of the first columns occurs in a context of an earlier place.
 
     ``order`` are the contexts by the suffix that starts at the current column; ``common`` is the common
     prefix of each with the one before, counted up to LENGTH.
@@ -222,29 +316,35 @@ def equal_strings(text: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
             if len(own) > 1:
                 starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
                 first = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(own))))
-                repeated[own[own != first], column] = True
+                repeated[own[place[own] != place[first]], column] = True
     return repeated
 
 
-def _context_buckets(batches):
-    parts: dict[str, list] = {k: [] for k in CONTEXT}
+def _asked_buckets(batches):
+    parts: dict[str, list] = {k: [] for k in ASKED_NAMES[1:]}
+    kinds = CONTEXT | {f"{k}_of_string": v for k, v in ENTRY.items()} | PASSED
     codec = pa.Codec("zstd", 1)
     for batch in batches:
-        for k, kind in CONTEXT.items():
+        for k, kind in kinds.items():
             for x in batch.column(k).to_pylist():
-                raw = codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) if k == "bytes" else x
+                raw = codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) if k == "bytes" and x else x
                 parts[k].append(np.frombuffer(raw, kind))
-    if not parts["doc"]:
-        return
-    e = {k: np.concatenate(v) for k, v in parts.items()}
+    e = {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in parts.items()}
     parts.clear()
-    order = np.lexsort((e["at"], e["doc"]))
-    doc, at, left, right = (e[k][order] for k in ("doc", "at", "left", "right"))
-    repeated = equal_strings(e["bytes"].reshape(-1, WIDTH)[order], left.astype(np.int64), right.astype(np.int64))
-    edge = np.diff(np.pad(repeated.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(edge > 0)
-    _, end = np.nonzero(edge < 0)
-    yield _found(True, np.zeros(len(row), np.int64), doc[row], at[row] - SIDE + start, at[row] - SIDE + end - 1 + LENGTH)
+    # Names of strings are judged as contexts are; a hot string has one context, so nothing is asked of it again.
+    strings = {k: e.pop(f"{k}_of_string") for k in ENTRY} | {k: e.pop(k) for k in PASSED}
+    if len(strings["gram"]) or len(strings["passed_key"]):
+        yield from _judged(strings, 0, LENGTH)
+    if len(e["doc"]):
+        order = np.lexsort((e["at"], e["doc"]))
+        doc, at, left, right = (e[k][order] for k in ("doc", "at", "left", "right"))
+        place = np.cumsum(_new(doc, at >> ROW_BITS))
+        repeated = equal_strings(e["bytes"].reshape(-1, WIDTH)[order], left.astype(np.int64), right.astype(np.int64), place)
+        edge = np.diff(np.pad(repeated.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, start = np.nonzero(edge > 0)
+        _, end = np.nonzero(edge < 0)
+        yield _found(COVERED, np.zeros(len(row), np.int64), doc[row], at[row], start - SIDE, end - SIDE - 1 + LENGTH)
+    trim()
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -270,24 +370,30 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the hash that tells rows of one doc_id apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("row"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end): byte spans (they may overlap) of each document that repeated strings cover."""
+    """(doc_id, row, start, end): byte spans (they may overlap) of each document that repeated strings cover; ``NO_ID`` for a null doc_id."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = _texts(docs)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
-    packed = "bucket int, gram binary, context binary, doc binary, at binary"
-    found = written(texts.mapInArrow(_anchor_entries(buckets), packed).repartition(buckets, "bucket").mapInArrow(_anchor_buckets, FOUND), "anchors")
-    asked = written(found.where("not covered").groupBy("doc_id").agg(F.collect_list("start").alias("ats"), F.collect_list("key").alias("keys")).withColumnRenamed("doc_id", "owner"), "asked-contexts")
-    wanted = texts.join(asked, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner")).select("doc_id", "text", "ats", "keys")
-    contexts = wanted.mapInArrow(_context_entries(buckets), "bucket int, " + ", ".join(f"{k} binary" for k in CONTEXT))
-    more = written(contexts.repartition(buckets, "bucket").mapInArrow(_context_buckets, FOUND), "contexts")
-    return found.where("covered").unionByName(more).select("doc_id", "start", "end")
+    binary = lambda names: ", ".join(f"{k} binary" for k in names)
+    found = written(texts.mapInArrow(_anchor_entries(buckets), f"bucket int, {binary((*ENTRY, *PASSED))}").repartition(buckets, "bucket").mapInArrow(_anchor_buckets, FOUND), "anchors")
+    lists = [F.collect_list(c).alias(a) for c, a in (("start", "ats"), ("key", "keys"), ("kind", "kinds"))]
+    asked = written(found.where(F.col("kind") != COVERED).groupBy(F.col("doc_id").alias("owner"), F.col("row").alias("owner_row")).agg(*lists), "asked-contexts")
+    wanted = texts.join(asked.hint("merge"), (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner")) & (F.col("row") == F.col("owner_row"))).select("doc_id", "row", "text", "ats", "keys", "kinds")
+    entries = wanted.mapInArrow(_asked_entries(buckets), f"bucket int, {binary(ASKED_NAMES[1:])}")
+    more = written(entries.repartition(buckets, "bucket").mapInArrow(_asked_buckets, FOUND), "contexts", asked)
+    return found.unionByName(more).where(F.col("kind") == COVERED).select("doc_id", "row", "start", "end")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")).withColumnRenamed("doc_id", "owner")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = texts.join(spans, F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner"), "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_digests, RESULT)
+    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("owner"), F.col("row").alias("owner_row")).agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    on = (F.coalesce("doc_id", F.lit(int(NO_ID))) == F.col("owner")) & (F.col("row") == F.col("owner_row"))
+    return _texts(docs).join(spans.hint("merge"), on, "left").select("doc_id", "text", "starts", "ends").mapInArrow(_digests, RESULT)
