@@ -1,6 +1,7 @@
 """Main text of hand-made pages and, for generated pages, of the article that went in."""
 
 import html
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,7 +46,39 @@ def test_defined_cases():
 
 
 def test_regions_are_between_surges_and_dives():
-    assert regions([0, 0, 0, 5, 5, 0, 0, 0, 0, 7, 0]) == [(2, 6), (8, 11)]
+    assert regions([0, 0, 0, 5, 5, 0, 0, 0, 0, 7, 0], 1) == [(2, 6), (8, 11)]
+    low_before, between, low_after = [4, 0, 0, 0], [0, 0, 0, 3, 0, 0, 0], [0, 0, 0, 5, 0]
+    assert regions([*low_before, 30, *between, 40, *low_after], 20) == [(3, 6), (7, 10), (11, 14)]  # what lies between surges stays
+    assert regions([4, 0, 0, 0, 9, 0, 0], 20) == [(3, 6)]  # nothing surges: the longest run
+
+
+def test_markup_that_leaves_nothing_behind():
+    assert main_text("<article><p>foo<!--x-->bar</p></article>") == "foobar"
+    assert main_text("<article><p>foo<script>1</script>bar</p></article>") == "foobar"
+    assert main_text("<article><p>one <svg width='1' /> two</p><p>three</p></article>") == "one two\n\nthree"
+    assert main_text("<article><p>one <svg width='1'>two</p><p>three</p></article>") == "one two\n\nthree"
+    assert main_text("<article><p>one <canvas>old</canvas>two</p></article>") == "one two"
+
+
+def test_names_that_describe_what_a_part_has():
+    for name in ("content with-sidebar", "has-ads", "no-sidebar", "withSidebar", "layout-sidebar"):
+        assert main_text(f'<body><div class="{name}"><p>The text of this page.</p></div></body>') == "The text of this page."
+    assert main_text('<body><div class="content"><p>The text of this page.</p></div><div class="left-sidebar"><p>Other words here.</p></div></body>') == "The text of this page."
+    assert main_text('<body><div class="modal"><p>Nothing else is on the page.</p></div></body>') == "Nothing else is on the page."
+
+
+def test_pages_with_and_without_article_elements_give_the_same():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    noise = ["<nav><a href=x>{}</a></nav>", "<div class=ad>{}</div>", "<aside><p>{}</p></aside>", "<div id='comments'><p>{}</p><p>{}</p></div>", "<form>{}<button>b</button></form>", "<div class='cookie-banner'>{}</div>"]
+    some = lambda: rng.choice(noise).format(text(9), text(30))
+    for _ in range(200):
+        blocks = [text(rng.randrange(3, 60)) + "xxxxxxxxxxxx" for _ in range(rng.randrange(1, 9))]
+        inner = "".join(f"<p>{b}</p>" + (some() if rng.random() < 0.3 else "") for b in blocks)
+        page = "<body><header>{}</header>{}<{}>{}</{}>{}<footer>{}</footer></body>"
+        for element in ("article", "div"):
+            assert main_text(page.format(text(4), some(), element, inner, element, some(), text(9))) == "\n\n".join(blocks)
 
 
 @settings(max_examples=60, deadline=None)

@@ -3,13 +3,18 @@
 Markup is stripped so that every block of the page becomes a line; blocks inside menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments become empty lines, several of them, so
 that the distribution falls to nothing there. Text lengths (without link text) are summed over sliding
-windows of lines. A surge is where the sum rises from nothing, a dive where it falls back; the lines
-between a surge and its dive are a region. On pages that mark the article, its regions are kept, which is
-every marked line; on others every region, from its first to its last line that is not mostly link text.
-So a lead before an advert stays, however short, and lists of links go, as ``WINDOW`` such lines end a region.
-
-Defined cases: a null or empty page has the empty text; broken or cut markup is read as far as it goes;
-repeated rows are extracted each; other columns are ignored; nothing of the article is capped.
+windows of lines. A surge is where the sum rises to ``SURGE`` code points, a dive where it falls back to nothing.
+The text runs from the first surge to the last dive: all lines between them stay, however short and also where
+an advert stands between, but for lists of links, as lines that are mostly links have no length and ``WINDOW`` of them
+part the text. On pages that mark the article, lines outside the mark have no length, and any text is a surge.
+A page where nothing surges gives its longest run of lines.
+
+Comments and scripts leave no space behind, as a browser has none there. A name such as ``with-sidebar`` describes the
+part that has a sidebar, not one; where names and elements leave no text at all, names are not believed.
+
+Defined cases: a null or empty page has the empty text; broken or cut markup is read as far as it goes (only
+scripts, styles and the like run to the end of the page where nothing closes them); repeated rows are extracted each;
+other columns are ignored; an empty table gives no rows; nothing of the article is capped.
 """
 
 from __future__ import annotations
@@ -24,8 +29,13 @@ from pyspark.sql import functions as F
 
 from ._text import slices
 
-WINDOW = 3
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|head)\b[^>]*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+WINDOW, SURGE = 3, 12
+_ATTRIBUTES = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|iframe|noscript|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<(svg|math)\b{_ATTRIBUTES}(?<=/)>|<(template|svg|math|object|canvas)\b[^>]*+>.*?</\3\s*>|<head\b[^>]*+>.*?(?:</head\s*>|(?=<body\b))",
+    re.S | re.I,
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*+)(?:>|(?=<)|\Z)|<[!?][^>]*+>")
 _NAME = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -38,14 +48,28 @@ NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 ARTICLE_WORDS = frozenset("article main".split())
 
 
-def _words(attributes: str) -> set[str]:
-    values = " ".join(a or b or c for a, b, c in _NAME.findall(attributes))
-    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", values).lower())) if values else set()
+#: Words by which a name tells what a part has or is laid out with.
+_HAS = frozenset("with has have no without layout hide hidden show".split())
+
+
+def _names(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role name a part that is noise, and one that is the article."""
+    noise = article = False
+    for a, b, c in _NAME.findall(attributes):
+        for name in (a or b or c).split():
+            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+            if not words & _HAS:
+                noise |= bool(words & NOISE_WORDS)
+                article |= bool(words & ARTICLE_WORDS)
+    return noise, article
+
 
+def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], list[bool]]:
+    """The page's lines, the length of each without its link text, and whether it is in a marked article.
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """The page's lines, the length of each without its link text, and whether it is in a marked article."""
-    page = _RAW.sub(" ", page)
+    Without ``by_name`` parts are noise by their element only.
+    """
+    page = _RAW.sub("", page)
     lines, sizes, marked = [], [], []
     stack: list[tuple[str, bool, bool]] = []  # open blocks: name, whether it is noise, whether it is an article
     noise = article = links = linked = 0
@@ -100,8 +124,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
                 if was_noise and not noise:
                     gap()
             continue
-        words = _words(attributes) if attributes else set()
-        bad = name in NOISE or (name == "header" and not article) or (name not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS))
+        noisy, named = _names(attributes) if attributes else (False, False)
+        bad = name in NOISE or (name == "header" and not article) or (by_name and noisy and name not in ("html", "body", "article", "main"))
         if name == "span" and not bad:
             continue
         if not noise:
@@ -110,7 +134,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        good = not noise and not bad and (name in ("article", "main") or bool(words & ARTICLE_WORDS) and name in ("div", "section"))
+        good = not noise and not bad and (name in ("article", "main") or named and name in ("div", "section"))
         if bad and not noise:
             gap()
         stack.append((name, bad, good))
@@ -122,29 +146,34 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
     return lines, sizes, marked
 
 
-def regions(sizes: list[int]) -> list[tuple[int, int]]:
-    """Runs of lines between a surge and a dive of the window sums."""
+def regions(sizes: list[int], surge: int) -> list[tuple[int, int]]:
+    """Runs of lines between a rise from nothing and a dive of the window sums, of which one sum at least is a surge."""
     total = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(sizes)
-    half = WINDOW // 2
+    n, half = len(sizes), WINDOW // 2
     k = np.arange(n)
     sums = total[np.minimum(n, k + half + 1)] - total[np.maximum(0, k - half)]
     up = np.concatenate([[0], (sums > 0).astype(np.int8), [0]])
-    return list(zip(np.flatnonzero(np.diff(up) > 0).tolist(), np.flatnonzero(np.diff(up) < 0).tolist()))
+    runs = list(zip(np.flatnonzero(np.diff(up) > 0).tolist(), np.flatnonzero(np.diff(up) < 0).tolist()))
+    high = [k for k, (a, b) in enumerate(runs) if sums[a:b].max() >= surge]
+    if not high:
+        return [max(runs, key=lambda r: (total[r[1]] - total[r[0]], -r[0]))] if runs else []
+    return runs[high[0] : high[-1] + 1]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by an empty line."""
     lines, sizes, marked = lines_of(page or "")
-    if not lines:
-        return ""
+    if not any(lines):
+        lines, sizes, marked = lines_of(page or "", by_name=False)
     if any(m and line for m, line in zip(marked, lines)):
-        sizes = [s if m else 0 for s, m in zip(sizes, marked)]
-        keep = regions(sizes)
-        return "\n\n".join(lines[k] for a, b in keep for k in range(a, b) if lines[k] and marked[k])
-    sizes = [s if 2 * s >= len(line) else 0 for s, line in zip(sizes, lines)]
-    own = [[k for k in range(a, b) if sizes[k]] for a, b in regions(sizes)]
-    return "\n\n".join(lines[k] for ks in own for k in range(ks[0], ks[-1] + 1) if lines[k])
+        sizes, surge = [s if m else 0 for s, m in zip(sizes, marked)], 1
+    else:
+        sizes, marked, surge = [s if 2 * s >= len(line) else 0 for s, line in zip(sizes, lines)], [True] * len(lines), SURGE
+    out = []
+    for a, b in regions(sizes, surge):
+        own = [k for k in range(a, b) if sizes[k]]
+        out += [lines[k] for k in range(own[0], own[-1] + 1) if lines[k] and marked[k]]
+    return "\n\n".join(out)
 
 
 def _run(batches):
