@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, so a lost executor costs no recomputation.
 
-    ``done`` are tables of this kind that nothing needs after this one; they are deleted.
+    ``done`` are tables of this kind that nothing needs after this one; they are deleted. Spark's cleaner then sees that
+    the shuffles of the finished job are no longer held, so their files go before the next job's come.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,16 +34,15 @@ def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     release(*done)
+    spark._jvm.System.gc()
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, and have Spark's cleaner see that the shuffles of finished jobs are no longer held."""
+    """Delete tables that ``written`` made."""
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
