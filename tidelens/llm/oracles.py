@@ -64,3 +64,17 @@ def repeated_bytes() -> str:
     n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id), k AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM (SELECT * FROM r UNION ALL SELECT doc_id, -1, 0 FROM t)),
     e AS (SELECT t.doc_id, string_agg(substr(h, CAST(2 * lo + 1 AS BIGINT), CAST(2 * (coalesce(hi, length(h) // 2) - lo) AS BIGINT)), '' ORDER BY lo) AS kept FROM t JOIN k ON k.doc_id = t.doc_id GROUP BY t.doc_id)
     SELECT t.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t JOIN e ON e.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id"""
+
+
+def source_audit(least: int = 30, ranks: int = 50) -> str:
+    """Shares of every kept term in every group, in wide integers; absent terms count 0."""
+    share = "CAST(1 + 1000000000::HUGEINT * ({0} + 5) // ({1} + 5 * {2}) AS BIGINT)"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {least}), l AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+    c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL), g AS (SELECT DISTINCT lang, source FROM d), t AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share.format("coalesce(c.n, 0)", "coalesce(t.total, 0)", "l.v")} AS p, {share.format("k.n", "l.total", "l.v")} AS q FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= {ranks}"""

@@ -108,3 +108,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeated_bytes import repeated_bytes
 
     return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op11_source_audit", oracles.source_audit())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_audit import source_audit
+
+    return source_audit(table(spark, sf_dir, "documents"))
