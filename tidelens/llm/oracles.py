@@ -47,11 +47,11 @@ def quality_ablations(policy: str = "v1") -> str:
     return f"WITH q AS ({quality_rules(policy)}) " + " UNION ALL ".join(parts)
 
 
-def jaccard_join() -> str:
+def jaccard_join(shingle: int = 5, per_cent: int = 75) -> str:
     """Components by the closure of the links."""
     return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS l FROM documents),
-    d AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS s FROM w), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+    d AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < {shingle} THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - {shingle - 2}), lambda i: array_to_string(l[i:i + {shingle - 1}], ' ')) END) AS s FROM w), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {per_cent} * (x.n + y.n - i)),
     r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
     SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n ON n.doc_id = m.doc_id"""
 
@@ -78,3 +78,21 @@ def source_audit(least: int = 30, ranks: int = 50) -> str:
     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
     UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
     SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= {ranks}"""
+
+
+def vector_codes(entries: int = 256, rounds: int = 4, parts: int = 4) -> str:
+    """Every part against every entry, round by round. Vectors have one length; vec_ids are unique."""
+    nearest = "(SELECT vec_id, part, min({{'d': d, 'entry': entry}}) AS m FROM (SELECT x.vec_id, x.part, c.entry, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS d FROM x JOIN c{0} c ON c.part = x.part AND c.j = x.j GROUP BY ALL) GROUP BY ALL)"
+    steps = [
+        f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.j, coalesce(s.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT n.part, n.m.entry AS entry, x.j, CAST(floor(CAST(sum(x.x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM {nearest.format(k)} n JOIN x ON x.vec_id = n.vec_id AND x.part = n.part GROUP BY ALL) s ON s.part = c.part AND s.entry = c.entry AND s.j = c.j)"
+        for k in range(rounds)
+    ]
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    x AS MATERIALIZED (SELECT vec_id, i // (len(v) // {parts}) AS part, i % (len(v) // {parts}) AS j, v[i + 1] AS x FROM (SELECT vec_id, v, unnest(range(0, len(v))) AS i FROM v)), f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}),
+    c0 AS MATERIALIZED (SELECT x.part, f.entry, x.j, x.x FROM x JOIN f ON f.vec_id = x.vec_id), {", ".join(steps)},
+    n AS MATERIALIZED {nearest.format(rounds)}, e AS (SELECT vec_id, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n GROUP BY vec_id), h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, j)) AS h FROM c{rounds})
+    SELECT v.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM v JOIN e ON e.vec_id = v.vec_id CROSS JOIN h"""
+
+
+def near_duplicates() -> str:
+    return f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_join(4, 80)})"

@@ -115,3 +115,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_audit import source_audit
 
     return source_audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_codes", oracles.vector_codes())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_near_duplicates", oracles.near_duplicates())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
