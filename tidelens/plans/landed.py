@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..sources import readers, sinks
+from ..sources.scratch import folder
 from ..streaming import jobs
 from .queries import CTE, _NEEDS, _rounded, query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that ``spark.checkpoint.dir`` names; a temporary one where that is unset, on a single machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tidelens-landed-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _lines(df: DataFrame, name: str) -> str:
-    path = _folder(df.sparkSession, name)
+    path = folder(df.sparkSession, name)
     df.write.text(path)
     return path
 
 
 def _feed(df: DataFrame, name: str) -> str:
-    path = _folder(df.sparkSession, name)
+    path = folder(df.sparkSession, name)
     df.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(path)
     return path
 
@@ -81,7 +69,7 @@ def landed_papers(spark, d):
 def landed_filings(spark, d):
     """S3: a daily index for each partition, with lines before and after the header that are no records."""
     fields = F.concat_ws(" | ", F.col("cik"), F.col("company_name"), "form_type", F.coalesce("filing_date", F.lit("")), "filename")
-    path = _folder(spark, "filings")
+    path = folder(spark, "filings")
     B.filings(spark, d).where(F.col("form_type").isin("8-K", "XX")).select(fields.alias("CIK|Company Name|Form Type|Date Filed|Filename")).write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
     return readers.filing_index(spark, path).select("cik", "company_name", "form_type", "filing_date", "filename", "form_description", "filing_url")
 
@@ -97,7 +85,7 @@ def landed_feed(spark, d):
 @query("snapshot", ("papers",), "SELECT 'contents' AS name, count(*) AS n FROM papers UNION ALL SELECT 'enriched', count(*) FROM pages")
 def snapshot(spark, d):
     """Pipeline tables written and read again, without the analyses that a reload drops."""
-    path = _folder(spark, "snapshot")
+    path = folder(spark, "snapshot")
     sinks.write_snapshot({"contents": B.contents(spark, d), "enriched": B.table(spark, d, "pages"), "analyses": B.analyses(spark, d)}, path)
     back = sinks.read_snapshot(spark, path)
     out = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in back.items()]
@@ -124,7 +112,7 @@ def merged_reports(spark, d):
 @query("report_files", ("rr",), "SELECT provider, model, strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(sum(len(contribs)) AS BIGINT) AS contributions FROM rr GROUP BY ALL")
 def report_files(spark, d):
     """Reports by provider, model and month, read from their folders."""
-    path = _folder(spark, "reports")
+    path = folder(spark, "reports")
     sinks.write_reports(B.rich_reports(spark, d), path)
     r = spark.read.parquet(path)
     return r.groupBy(F.col("provider").cast("string").alias("provider"), F.col("model").cast("string").alias("model"), F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"), F.sum(F.size("novel_contributions")).alias("contributions"))
@@ -139,7 +127,7 @@ def report_keywords(spark, d):
 @query("exported_rows", ("papers",), "SELECT paper_id AS id, title, abstract AS content FROM papers")
 def exported_rows(spark, d):
     """Exported as JSON and read again."""
-    path = _folder(spark, "export")
+    path = folder(spark, "export")
     sinks.export_json(B.contents(spark, d).select("id", "title", "content"), path)
     return spark.read.schema("id long, title string, content string").json(path)
 
@@ -148,7 +136,7 @@ def exported_rows(spark, d):
 
 
 def _events(spark, d) -> str:
-    path = _folder(spark, "events")
+    path = folder(spark, "events")
     B.mentions(spark, d).select("keyword", F.col("ts").cast("string").alias("ts"), F.col("paper_id").cast("string").alias("source_id")).write.json(path)
     return path
 
@@ -158,9 +146,9 @@ _EVENT = "keyword string, ts timestamp, source_id string"
 
 def _replayed(spark, d, job, schema: str) -> DataFrame:
     """What a stream over the landed events has written when it stops."""
-    out = _folder(spark, "stream-out")
+    out = folder(spark, "stream-out")
     stream = job(jobs.landed(spark, _events(spark, d), _EVENT, 100_000))
-    jobs.ingest(stream, out, _folder(spark, "stream-state")).awaitTermination()
+    jobs.ingest(stream, out, folder(spark, "stream-state")).awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
 
@@ -192,26 +180,26 @@ def streamed_weekly_counts(spark, d):
 @query("upserted_stream", ("ev",), "SELECT CAST(paper_id AS VARCHAR) AS source_id, max(ts) AS ts FROM ev GROUP BY paper_id")
 def upserted_stream(spark, d):
     """V5: each micro-batch is merged into the stored rows, the last of a key wins."""
-    versions = [_folder(spark, "upserted")]
+    versions = [folder(spark, "upserted")]
     spark.createDataFrame([], _EVENT).write.parquet(versions[0])
 
     def merge(batch: DataFrame, _: int) -> None:
         stored = spark.read.schema(_EVENT).parquet(versions[-1])
-        path = _folder(spark, "upserted")
+        path = folder(spark, "upserted")
         sinks.latest_wins(stored, batch, ["source_id"], ["keyword"], "ts").write.parquet(path)
         versions.append(path)
 
-    jobs.upsert(jobs.landed(spark, _events(spark, d), _EVENT), merge, _folder(spark, "stream-state")).awaitTermination()
+    jobs.upsert(jobs.landed(spark, _events(spark, d), _EVENT), merge, folder(spark, "stream-state")).awaitTermination()
     return spark.read.schema(_EVENT).parquet(versions[-1]).select("source_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("streamed_measures", ("sent",), r"SELECT d.doc_id AS id, len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[’-][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]')) AS word_count, len(s) AS sentence_count FROM documents d JOIN sent ON sent.doc_id = d.doc_id")
 def streamed_measures(spark, d):
     """V6."""
-    path, out = _folder(spark, "contents"), _folder(spark, "stream-out")
+    path, out = folder(spark, "contents"), folder(spark, "stream-out")
     B.documents(spark, d).select(F.col("document_id").alias("id"), F.col("text").alias("content")).write.json(path)
     stream = jobs.analyzed(jobs.landed(spark, path, "id long, content string", 100_000)).select("id", "word_count", "sentence_count")
-    jobs.ingest(stream, out, _folder(spark, "stream-state")).awaitTermination()
+    jobs.ingest(stream, out, folder(spark, "stream-state")).awaitTermination()
     return _rounded(spark.read.schema("id long, word_count int, sentence_count int").parquet(out))
 
 
@@ -220,7 +208,7 @@ def saved_reports(spark, d):
     """Saved reports that have both papers and analysis, changed since a time."""
     k = F.col("document_id")
     saved = B.reports(spark, d).select(k.alias("id"), F.when(F.pmod(k, F.lit(3)) > 0, F.array(F.lit("p"))).alias("papers"), F.when(F.pmod(k, F.lit(4)) > 0, F.struct(F.lit("a").alias("text"))).alias("analysis"))
-    path = _folder(spark, "saved-reports")
+    path = folder(spark, "saved-reports")
     files = saved.groupBy(F.pmod("id", F.lit(8)).alias("bucket")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("id", "papers", "analysis"))), ",\n"), F.lit("]")).alias("value"))
     files.write.partitionBy("bucket").text(path)  # each file is one list of reports over many lines
     return readers.recent_reports(spark, path, "id long, papers array<string>, analysis struct<text:string>", "2020-01-01T00:00:00").select("id")

@@ -342,6 +342,19 @@ def paper_correlations(spark, d):
     return _rounded(correlate.paper_pairs(_elements(spark, d)).withColumn("shared", F.array_join("shared", "|")))
 
 
+@query("top_correlations", sql=ORACLE["paper_correlations_of_three_kinds"] + " ORDER BY round(s.score, 9) DESC, s.paper_a, s.paper_b LIMIT 100")
+def top_correlations(spark, d):
+    """C1 with its limit."""
+    return _rounded(correlate.top_pairs(_three_kinds(spark, d), 100).withColumn("shared", F.array_join("shared", "|")))
+
+
+@query("top_correlations_of_papers", sql=ORACLE["paper_correlations_of_three_kinds"] + " AND s.paper_a IN (SELECT doc_id FROM labels WHERE quality = 1) AND s.paper_b IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY round(s.score, 9) DESC, s.paper_a, s.paper_b LIMIT 40")
+def top_correlations_of_papers(spark, d):
+    """C1 with its limit and a list of papers, those labelled good."""
+    good = B.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("paper_id"))
+    return _rounded(correlate.top_pairs(_three_kinds(spark, d), 40, papers=good).withColumn("shared", F.array_join("shared", "|")))
+
+
 @query("topic_clusters", ("kw",), ", c AS (SELECT keyword AS cluster, count(*) AS size FROM kw WHERE rank = 1 GROUP BY keyword HAVING count(*) >= 3), m AS (SELECT k.doc_id, c.cluster, c.size FROM kw k JOIN c ON c.cluster = k.keyword WHERE rank = 1), o AS (SELECT m.cluster, m.doc_id, kw.keyword FROM m JOIN kw ON kw.doc_id = m.doc_id), z AS (SELECT cluster, doc_id, count(*) AS k FROM o GROUP BY ALL), j AS (SELECT a.cluster, a.doc_id AS pa, b.doc_id AS pb, count(*) AS i FROM o a JOIN o b ON a.cluster = b.cluster AND a.keyword = b.keyword AND a.doc_id < b.doc_id GROUP BY ALL), t AS (SELECT j.cluster, sum(i / (za.k + zb.k - i)) AS s FROM j JOIN z za ON za.cluster = j.cluster AND za.doc_id = pa JOIN z zb ON zb.cluster = j.cluster AND zb.doc_id = pb GROUP BY j.cluster), cn AS (SELECT cluster, keyword, count(*) AS n FROM o GROUP BY cluster, keyword), ck AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, keyword) AS r FROM cn), rt AS (SELECT cluster, keyword, row_number() OVER (PARTITION BY cluster ORDER BY keyword) AS r FROM cn WHERE keyword <> cluster), cs AS (SELECT cluster, string_agg(keyword, '|' ORDER BY r) AS s FROM ck WHERE r <= 10 GROUP BY cluster), rs AS (SELECT cluster, string_agg(keyword, '|' ORDER BY r) AS s FROM rt WHERE r <= 5 GROUP BY cluster) SELECT c.cluster, c.size, cs.s AS central_keywords, round(coalesce(t.s, 0) / (c.size * (c.size - 1) / 2), 6) AS coherence, rs.s AS related_topics FROM c LEFT JOIN t ON t.cluster = c.cluster LEFT JOIN cs ON cs.cluster = c.cluster LEFT JOIN rs ON rs.cluster = c.cluster")
 def topic_clusters(spark, d):
     k = B.keywords(spark, d).select(F.col("document_id").alias("paper_id"), "keyword", F.col("keyword").alias("topic"), "rank")
