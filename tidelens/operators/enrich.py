@@ -88,8 +88,11 @@ def merge_pages(contents: DataFrame, pages: DataFrame, separator: str = "\n\n---
 
 
 def enrichment_cycle(contents: DataFrame, enriched: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
-    """Contents not enriched yet (newest first up to ``most``), enriched from stored pages."""
+    """Contents (id, url, source_type, content, collected_at) that have no row in ``enriched`` (id) yet, the newest first up to ``most``, enriched from fetched pages.
+
+    pages: url, clean_text, success, as ``page_fields`` gives them. What failed has a row too, so it is not tried again.
+    """
     waiting = contents.join(enriched.select("id"), "id", "left_anti")
     if most is not None:
         waiting = waiting.orderBy(F.desc("collected_at"), "id").limit(most)
-    return merge_pages(waiting, page_fields(pages).withColumn("success", F.lit(True)))
+    return merge_pages(waiting, pages)
