@@ -147,7 +147,7 @@ def analyze(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
 def analyze_files(spark, path: str) -> DataFrame:
     """Analysis of text files, one document each, named by a hash of its path, with the path."""
     file = F.col("_metadata.file_path")
-    docs = spark.read.option("wholetext", True).text(path).select(F.xxhash64(file).alias("document_id"), file.alias("path"), F.col("value").alias("text"))
+    docs = spark.read.text(path, wholetext=True).select(F.xxhash64(file).alias("document_id"), file.alias("path"), F.col("value").alias("text"))
     return analyze(docs.drop("path")).join(docs.drop("text"), "document_id")
 
 
