@@ -11,17 +11,19 @@ from tidelens.streaming import jobs
 
 from .conftest import ROOT
 
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2301.00001v1</id><title>Test Paper
- Title</title><summary> Words. </summary><author><name>A</name></author><author><name>B</name></author><published>2023-01-01T00:00:00Z</published><category term="cs.AI"/><category term="cs.LG"/>
-<link href="http://arxiv.org/abs/2301.00001v1" rel="alternate"/><link href="http://arxiv.org/pdf/2301.00001v1" title="pdf"/></entry></feed>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1907.40312v4</id><title>Tidal lenses
+  over   shallow   basins</title><summary>
+ Waves bend. </summary><author><name>Ilse Brandt</name></author><author><name>Q. Okoro</name></author><author><name>Rui</name></author><published>2019-07-22T08:15:30Z</published><category term="physics.ao-ph"/><category term="math.NA"/><category term="stat.AP"/>
+<link href="http://arxiv.org/pdf/1907.40312v4" title="pdf"/><link href="http://arxiv.org/abs/1907.40312v4" rel="alternate"/></entry></feed>"""
 INDEX = "Description: index\nsome|text\n7|before|the|header|x\nCIK|Company Name|Form Type|Date Filed|Filename\n-----\n123| Acme |8-K|2024-01-02|edgar/a.txt\nCIK0124|Beta|XX|2024-01-02|edgar/b.txt\n125|short|8-K|x\n"
 
 
 def test_atom(spark, tmp_path):
     (tmp_path / "f.xml").write_text(ATOM)
     r = readers.atom_entries(spark, str(tmp_path / "f.xml")).first()
-    assert r["id"] == "2301.00001v1" and r["title"] == "Test Paper Title" and r["authors"] == ["A", "B"] and r["categories"] == ["cs.AI", "cs.LG"]
-    assert "arxiv.org/abs" in r["url"] and "arxiv.org/pdf" in r["pdf_url"]
+    assert (r["id"], r["title"], r["published"]) == ("1907.40312v4", "Tidal lenses over shallow basins", "2019-07-22T08:15:30Z")
+    assert r["authors"] == ["Ilse Brandt", "Q. Okoro", "Rui"] and r["categories"] == r["keywords"] == ["physics.ao-ph", "math.NA", "stat.AP"]
+    assert r["url"].endswith("/abs/1907.40312v4") and r["pdf_url"].endswith("/pdf/1907.40312v4") and r["abstract"].strip() == "Waves bend."
 
 
 def test_filing_index(spark, tmp_path):

@@ -78,7 +78,7 @@ def trending_repositories(spark, d):
 
 @query("insider_filings", ("fl",), ", r AS (SELECT *, row_number() OVER (PARTITION BY cik, form_type ORDER BY filing_date DESC NULLS LAST, filename) AS k FROM fl WHERE form_type IN ('3', '4', '5')) SELECT arrival, cik, form_type, filing_date FROM r WHERE k <= 20 AND filing_date IS NOT NULL AND (day IS NULL OR day >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 900)")
 def insider_filings(spark, d):
-    """The last 900 days before the newest filing."""
+    """The last 900 days before the newest filing."""
     last = B.table(spark, d, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]  # one value
     return search.insider_filings(B.filings(spark, d), last, 900, 20).select("arrival", "cik", "form_type", "filing_date")
 
@@ -91,7 +91,7 @@ def company_filings(spark, d):
 
 @query("filing_dates", ("fl",), "SELECT arrival, day FROM fl")
 def filing_dates(spark, d):
-    """F13, X: four formats."""
+    """Four formats."""
     return B.filings(spark, d).select("arrival", S.filing_date("filing_date").alias("day"))
 
 
