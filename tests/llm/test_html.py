@@ -49,7 +49,7 @@ def test_regions_are_between_surges_and_dives():
     assert regions([0, 0, 0, 5, 5, 0, 0, 0, 0, 7, 0], 1) == [(2, 6), (8, 11)]
     low_before, between, low_after = [4, 0, 0, 0], [0, 0, 0, 3, 0, 0, 0], [0, 0, 0, 5, 0]
     assert regions([*low_before, 30, *between, 40, *low_after], 20) == [(3, 6), (7, 10), (11, 14)]  # what lies between surges stays
-    assert regions([4, 0, 0, 0, 9, 0, 0], 20) == [(3, 6)]  # nothing surges: the longest run
+    assert regions([4, 0, 0, 0, 9, 0, 0], 20) == []  # nothing surges
 
 
 def test_markup_that_leaves_nothing_behind():
@@ -81,6 +81,50 @@ def test_pages_with_and_without_article_elements_give_the_same():
             assert main_text(page.format(text(4), some(), element, inner, element, some(), text(9))) == "\n\n".join(blocks)
 
 
+LONG = "Some long paragraph of the article text here. " * 6
+P, T = f"<p>{LONG}</p>", LONG.strip()
+
+
+def test_forms_that_hold_the_page():
+    assert main_text(f"<body><form>{P}<p>x</p></form></body>") == f"{T}\n\nx"
+    assert main_text("<body><form><article><p>Short.</p></article></form></body>") == "Short."
+    assert main_text(f"<body><form><div><label>Find</label><input></div><div>{P}{P}</div></form></body>") == f"{T}\n\n{T}"
+    assert main_text(f"<body><div>{P}</div><form><p>Your name</p><label>Name</label></form></body>") == T
+    assert main_text("<body><form><label>Name</label><button>Go</button></form></body>") == ""
+    assert main_text("<article><p>Fig <label>one</label> shows it.</p></article>") == "Fig one shows it."
+
+
+def test_names_are_compounds():
+    inner = '<section class="side-effects"><p>Nausea.</p></section><section id="related-work"><p>Others.</p></section><div class="share-price"><p>12.</p></div>'
+    assert main_text(f'<article>{P}{inner}<div class="related-posts">No</div><div class="user-comments">No</div></article>') == f"{T}\n\nNausea.\n\nOthers.\n\n12."
+    assert main_text(f"<body><div>{P}{inner}{P}</div></body>") == f"{T}\n\nNausea.\n\nOthers.\n\n12.\n\n{T}"
+    assert main_text(f'<body><article>{P}</article><article class="teaser"><p>Another page.</p></article></body>') == T
+    assert main_text(f'<article>{P}<article class="comment"><p>Hi.</p></article></article>') == T
+    assert main_text('<article class="notice"><p>The only article.</p></article>') == "The only article."
+
+
+def test_lengths_decide_where_nothing_is_marked():
+    hello, rights = "<div>Welcome to our web site, call 555-1234</div>", "<div>All rights reserved 2024 Example Inc.</div>"
+    menu = "<ul><li>Home page</li><li>About the company</li></ul>"
+    want = f"T\n\n{T}\n\n{T}\n\nend"
+    assert main_text(f"<body>{hello}<div class=content><h1>T</h1>{P}{P}<p>end</p></div>{rights}{menu}</body>") == want
+    assert main_text(f"<body>{menu}{hello}<h1>T</h1>{P}{P}<p>end</p>{rights}{menu}</body>") == want
+    assert main_text(f"<body>{hello}<h1>T</h1><div class=content>{P}{P}<p>end</p></div>{rights}</body>") == want
+    assert main_text(f"<body><div>{P}{P}</div><div>{P}</div>{rights}</body>") == f"{T}\n\n{T}\n\n{T}"
+    assert main_text(f"<body><div>{P}{P}<p><a href=x>A last paragraph that is a link</a></p></div></body>") == f"{T}\n\n{T}\n\nA last paragraph that is a link"
+    assert main_text(f"<body><div><h1>T{P}<p>two{P}<div class=ad>Buy</div><p>three") == f"T\n\n{T}\n\ntwo\n\n{T}\n\nthree"
+
+
+def test_broken_markup_takes_time_by_its_length():
+    import time
+
+    begun = time.monotonic()
+    n = 16_000
+    for page in ("<svg>" * n, "<div>" * n + "</p>" * n, "<div>" * n + "x</section>" * n, "<script " * n, "<!--" * n, "<head>" * n, '<a "' * n, "<form>" * n):
+        main_text(page)
+    assert main_text("<svg>" * n + "text") == "text" and time.monotonic() - begun < 8
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab c&<>é", min_size=1, max_size=30).filter(str.strip), min_size=1, max_size=8))
 def test_articles_come_back(blocks):
