@@ -190,3 +190,16 @@ def test_text_files_are_analysed_whole(spark, tmp_path):
     assert set(rows) == {"a.txt", "b.txt"} and len({r["document_id"] for r in rows.values()}) == 2
     assert (rows["a.txt"]["word_count"], rows["a.txt"]["sentence_count"]) == (13, 4) and rows["a.txt"]["keywords"]
     assert (rows["b.txt"]["word_count"], rows["b.txt"]["sentence_count"], rows["b.txt"]["keywords"]) == (1, 1, None)
+
+
+def test_papers_behind_trends_and_connections(spark):
+    rows = [(w, f"2024-01-0{day}", 10 * day + k, dom) for w, n in (("up", 5), ("once", 1)) for day in range(1, n + 1) for k in range(day) for dom in ("general", "ai")]
+    m = spark.createDataFrame(rows, "keyword string, ts string, paper_id long, domain string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    signals = trends.keyword_trends(m, floor=0.0)
+    assert [(r["keyword"], r["n_papers"], r["domains"]) for r in signals.collect()] == [("up", 15, ["ai"])]
+    assert {(r["keyword"], r["paper_id"]) for r in trends.trend_papers(signals, m).collect()} == {("up", 10 * day + k) for day in range(1, 6) for k in range(day)}
+    p = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (3, "b"), (3, "c")], "paper_id long, domain string")
+    k = spark.createDataFrame([(1, f"w{i:02d}") for i in range(12)] + [(2, "w00"), (3, "z")], "paper_id long, keyword string")
+    assert {tuple(r) for r in correlate.bridge_papers(p).collect()} == {("a", "b", 1), ("a", "b", 2), ("b", "c", 3)}
+    (row,) = correlate.research_connections(p, k).collect()
+    assert (row["bridges"], row["shared_keywords"], row["strength"]) == (2, [f"w{i:02d}" for i in range(10)], 2 / 3)

@@ -57,6 +57,25 @@ def test_daily_counts_equal_batch_on_closed_days(spark, tmp_path):
     assert got and all(batch[k] == n for k, n in got.items()) and len(got) < len(batch)
 
 
+def test_filing_index_is_split(spark, tmp_path):
+    """A large index is read by several tasks; lines with five fields before the header are no records, and a file without header has none."""
+    head = "a | b | c | d | e\nDescription: index\n"
+    lines = [f"{k} | Company {k} | 8-K | 2024-01-0{k % 9 + 1} | edgar/{k}" for k in range(20_000)]
+    (tmp_path / "a.txt").write_text(head + "CIK|Company Name|Form Type|Date Filed|Filename\n" + "\r\n".join(lines) + "\n1|2\n")
+    (tmp_path / "b.txt").write_text(head * 20_000)
+    (tmp_path / "c.txt").write_text("CIK|Company Name|Form Type|Date Filed|Filename\n7 | C | XX | | f")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        got = readers.filing_index(spark, str(tmp_path))
+        tasks = spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions()
+        rows = [(r["cik"], r["company_name"], r["filename"], r["form_description"]) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    want = [(str(k), f"Company {k}", f"edgar/{k}", "Current Report") for k in range(20_000)] + [("7", "C", "f", "Other Filing")]
+    assert tasks > 5 and sorted(rows) == sorted(want)
+
+
 def test_upsert_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"id": "x", "content": "One two. Three."}')

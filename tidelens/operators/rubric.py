@@ -82,9 +82,9 @@ def contribution_themes(reports: DataFrame) -> DataFrame:
     return _themes(reports, "novel_contributions")
 
 
-def implication_themes(reports: DataFrame) -> DataFrame:
+def implication_themes(reports: DataFrame, top: int = 5) -> DataFrame:
     """L13."""
-    return _themes(reports, "business_implications")
+    return _themes(reports, "business_implications", top)
 
 
 def contribution_density(reports: DataFrame) -> DataFrame:

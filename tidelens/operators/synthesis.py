@@ -35,21 +35,32 @@ def _total(papers: DataFrame) -> DataFrame:
     return F.broadcast(papers.agg(F.count("*").alias("papers")))
 
 
+def technical_mentions(papers: DataFrame) -> DataFrame:
+    """paper_id and term, a row for each innovation of a paper that has the term."""
+    return papers.select("paper_id", F.explode("innovations").alias("x")).select("paper_id", F.explode(technical_terms(F.col("x"))).alias("term"))
+
+
 def technical_trends(papers: DataFrame, least: int = 3, confidence: float = 0.6) -> DataFrame:
-    """Terms of innovations by mentions (several per paper count), their papers distinct."""
-    rows = papers.select("paper_id", F.explode("innovations").alias("x")).select("paper_id", F.explode(technical_terms(F.col("x"))).alias("term"))
-    g = rows.groupBy("term").agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("paper_id")).alias("supporting_papers")).crossJoin(_total(papers))
+    """Terms of innovations by mentions (several per paper count); ``evidence`` is the number of their papers, which are rows of ``technical_mentions``."""
+    each = technical_mentions(papers).groupBy("term", "paper_id").agg(F.count("*").alias("n"))
+    g = each.groupBy("term").agg(F.sum("n").alias("mentions"), F.count("*").alias("evidence")).crossJoin(_total(papers))
     c = F.least(F.col("mentions") / F.col("papers"), F.lit(1.0))
-    out = g.select(F.concat(F.lit("tech_trend_"), F.left(F.md5("term"), F.lit(8))).alias("trend_id"), F.col("term").alias("trend_name"), F.lit("technical").alias("trend_type"), "mentions", "supporting_papers", c.alias("confidence"), timeframe(F.size("supporting_papers"), F.col("papers")).alias("timeframe"))
+    out = g.select(F.concat(F.lit("tech_trend_"), F.left(F.md5("term"), F.lit(8))).alias("trend_id"), F.col("term").alias("trend_name"), F.lit("technical").alias("trend_type"), "mentions", "evidence", c.alias("confidence"), timeframe(F.col("evidence"), F.col("papers")).alias("timeframe"))
     return out.where((F.col("mentions") >= least) & (F.col("confidence") >= confidence))
 
 
-def _families(papers: DataFrame, families: dict[str, list[str]], extra: str, lower_extra: bool, kind: str, prefix: str, least: int, confidence: float) -> DataFrame:
+def family_papers(papers: DataFrame, families: dict[str, list[str]], extra: str, lower_extra: bool = False) -> DataFrame:
+    """paper_id and family, a row for each family that a paper speaks of; the list column ``extra`` is searched as well."""
     more = F.coalesce(F.array_join(extra, " "), F.lit(""))
     text = F.concat(F.lower(F.concat_ws(" ", "title", "abstract")), F.lit(" "), F.lower(more) if lower_extra else more)
     hits = F.array_compact(F.array(*(F.when(contains_any(text, own), name) for name, own in families.items())))
-    g = papers.select("paper_id", F.explode(hits).alias("family")).groupBy("family").agg(F.count("*").alias("mentions"), F.array_sort(F.collect_set("paper_id")).alias("supporting_papers")).crossJoin(_total(papers))
-    out = g.select(F.concat(F.lit(prefix), "family").alias("trend_id"), F.initcap(F.replace(F.col("family"), F.lit("_"), F.lit(" "))).alias("trend_name"), F.lit(kind).alias("trend_type"), "mentions", "supporting_papers", (F.col("mentions") / F.col("papers")).alias("confidence"), timeframe(F.size("supporting_papers"), F.col("papers")).alias("timeframe"))
+    return papers.select("paper_id", F.explode(hits).alias("family"))
+
+
+def _families(papers: DataFrame, families: dict[str, list[str]], extra: str, lower_extra: bool, kind: str, prefix: str, least: int, confidence: float) -> DataFrame:
+    each = family_papers(papers, families, extra, lower_extra).groupBy("family", "paper_id").agg(F.count("*").alias("n"))
+    g = each.groupBy("family").agg(F.sum("n").alias("mentions"), F.count("*").alias("evidence")).crossJoin(_total(papers))
+    out = g.select(F.concat(F.lit(prefix), "family").alias("trend_id"), F.initcap(F.replace(F.col("family"), F.lit("_"), F.lit(" "))).alias("trend_name"), F.lit(kind).alias("trend_type"), "mentions", "evidence", (F.col("mentions") / F.col("papers")).alias("confidence"), timeframe(F.col("evidence"), F.col("papers")).alias("timeframe"))
     return out.where((F.col("mentions") >= least) & (F.col("confidence") >= confidence))
 
 
@@ -70,7 +81,7 @@ def all_trends(papers: DataFrame, least: int = 3, confidence: float = 0.6) -> Da
 
 def emerging_themes(trends: DataFrame, floor: float = 0.7, most: int = 10) -> DataFrame:
     """Y7."""
-    return trends.where(F.col("confidence") > floor).orderBy(F.desc("confidence"), "trend_id").limit(most).select("trend_name", "trend_type", "confidence", F.size("supporting_papers").alias("evidence"), "timeframe")
+    return trends.where(F.col("confidence") > floor).orderBy(F.desc("confidence"), "trend_id").limit(most).select("trend_name", "trend_type", "confidence", "evidence", "timeframe")
 
 
 def research_gaps(papers: DataFrame) -> DataFrame:

@@ -36,19 +36,28 @@ def trend_type() -> Column:
 
 
 def keyword_trends(mentions: DataFrame, as_of=None, days: int | None = None, min_frequency: int = 3, floor: float = 0.3) -> DataFrame:
-    """Signals of keywords seen on enough days and strong enough, with their papers and domains.
+    """Signals of keywords seen on enough days and strong enough, with the number of their papers, and their domains.
 
-    mentions: keyword, ts, paper_id, domain. One aggregate gives papers and domains of all keywords.
+    mentions: keyword, ts, paper_id, domain. The papers themselves, of which a keyword may have any number, are the rows of ``trend_papers``.
     """
     signals = series_metrics(timeline(mentions, as_of, days)).where((F.col("days") >= max(min_frequency, 3)) & (F.col("strength") > floor))
-    if days is not None:
-        mentions = mentions.where(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
-    named = mentions.groupBy("keyword").agg(F.array_sort(F.collect_set("paper_id")).alias("papers"), F.collect_set("domain").alias("d"))
+    named = _recent(mentions, as_of, days).select("keyword", "paper_id", "domain").distinct()
+    named = named.groupBy("keyword").agg(F.count_distinct("paper_id").alias("n_papers"), F.collect_set("domain").alias("d"))
     domains = F.filter("d", lambda x: x != "general")
-    named = named.select("keyword", "papers", F.when(F.size(domains) > 0, F.array_sort(domains)).otherwise(F.array(F.lit("general"))).alias("domains"))
+    named = named.select("keyword", "n_papers", F.when(F.size(domains) > 0, F.array_sort(domains)).otherwise(F.array(F.lit("general"))).alias("domains"))
     return signals.join(named, "keyword")
 
 
+def _recent(mentions: DataFrame, as_of, days: int | None) -> DataFrame:
+    """Mentions of the last ``days`` days, or all."""
+    return mentions if days is None else mentions.where(F.col("ts") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def trend_papers(signals: DataFrame, mentions: DataFrame, as_of=None, days: int | None = None) -> DataFrame:
+    """Keyword and paper_id, a row for each paper that mentions a keyword of ``signals``."""
+    return _recent(mentions, as_of, days).join(signals.select("keyword"), "keyword", "left_semi").select("keyword", "paper_id").distinct()
+
+
 def dense_timeline(mentions: DataFrame, start, end, key: str = "topic") -> DataFrame:
     """A count for every key and every day from ``start`` to ``end``; ``i`` is the day's place."""
     found = mentions.where((F.to_date("ts") >= F.lit(start).cast("date")) & (F.to_date("ts") <= F.lit(end).cast("date"))).groupBy(key, F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

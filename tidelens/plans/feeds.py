@@ -376,10 +376,10 @@ def contribution_themes(spark, d):
     return rubric.contribution_themes(B.reports(spark, d))
 
 
-@query("implication_themes", ("reports",), ", x AS (SELECT unnest(impls) AS x FROM reports), " + _WORDS.replace("unnest({0})", "x").replace("{1}", "x") + " SELECT word, n FROM w WHERE length(word) > 4")
+@query("implication_themes", ("reports",), ", x AS (SELECT unnest(impls) AS x FROM reports), " + _WORDS.replace("unnest({0})", "x").replace("{1}", "x").replace("LIMIT 5", "LIMIT 100") + " SELECT word, n FROM w WHERE length(word) > 4")
 def implication_themes(spark, d):
-    """L13."""
-    return rubric.implication_themes(B.reports(spark, d))
+    """Among the hundred most frequent words, as the five most frequent ones are short here."""
+    return rubric.implication_themes(B.reports(spark, d), 100)
 
 
 @query("contribution_density", ("reports",), "SELECT count(DISTINCT c) AS distinct_contributions, round(count(c) / (SELECT count(*) FROM reports), 6) AS density FROM (SELECT unnest(contribs) AS c FROM reports)")
@@ -556,8 +556,12 @@ def cleaned_texts(spark, d):
     return B.papers(spark, d).select("paper_id", enrich.clean("abstract").alias("text"))
 
 
+def _family_hits(families: dict) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS family, paper_id FROM papers WHERE {_any('lower(title || chr(32) || abstract)', own)}" for name, own in families.items())
+
+
 def _family_sql(families: dict, prefix: str, kind: str) -> str:
-    hits = " UNION ALL ".join(f"SELECT '{name}' AS family, paper_id FROM papers WHERE {_any('lower(title || chr(32) || abstract)', own)}" for name, own in families.items())
+    hits = _family_hits(families)
     frame = "CASE WHEN count(*) >= all_papers * 0.5 THEN 'established' WHEN count(*) >= all_papers * 0.3 THEN 'growing' ELSE 'emerging' END"
     return f"SELECT '{prefix}' || family AS trend_id, '{kind}' AS trend_type, count(*) AS mentions, round(count(*) / any_value(all_papers), 6) AS confidence, {frame.replace('all_papers', 'any_value(all_papers)')} AS timeframe FROM ({hits}), (SELECT count(*) AS all_papers FROM papers) GROUP BY family"
 
@@ -572,13 +576,13 @@ def family_trends(spark, d):
     return _rounded(every.select("trend_id", "trend_type", "mentions", "confidence", "timeframe"))
 
 
-@query("corpus_footprint", (), "SELECT count(*) > 0 AS any_files, sum(length(text)) > 0 AS any_bytes FROM documents")
-def corpus_footprint(spark, d):
-    """The table's own files."""
-    from ..sources import readers
+@query("family_papers", ("papers",), _family_hits(K.METHOD_FAMILIES | K.APPLICATION_FAMILIES))
+def family_papers(spark, d):
+    """The papers behind each family."""
+    from ..operators import synthesis
 
-    out = readers.footprint(spark, f"{d}/documents.parquet")
-    return out.select((F.col("files") > 0).alias("any_files"), (F.col("megabytes") > 0).alias("any_bytes"))
+    p = B.papers(spark, d).withColumn("more", F.lit(None).cast("array<string>"))
+    return synthesis.family_papers(p, K.METHOD_FAMILIES | K.APPLICATION_FAMILIES, "more").select("family", "paper_id")
 
 
 @query("waiting_analyses", ("papers",), ", w AS (SELECT paper_id, abstract FROM papers WHERE trim(abstract) <> '' AND paper_id NOT IN (SELECT doc_id FROM labels) ORDER BY created_at DESC, paper_id LIMIT 40) SELECT paper_id AS document_id, len(regexp_extract_all(abstract, '[\\p{L}\\p{N}]+(?:[’-][\\p{L}\\p{N}]+)*|[^\\s\\p{L}\\p{N}]')) AS word_count FROM w")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings as B
+from .. import terms as K
 from ..sources import readers, sinks
 from ..sources.scratch import folder
 from ..streaming import jobs
@@ -65,12 +66,15 @@ def landed_papers(spark, d):
     return e.select("id", "title", "abstract", F.array_join("authors", "|").alias("authors"), F.array_join("categories", "|").alias("categories"), "url", "pdf_url", "published")
 
 
-@query("landed_filings", ("fl",), "SELECT cik, trim(company_name) AS company_name, form_type, trim(coalesce(filing_date, '')) AS filing_date, filename, CASE WHEN form_type = '8-K' THEN 'Current Report' ELSE 'Other Filing' END AS form_description, 'https://www.sec.gov/Archives/' || filename AS filing_url FROM fl WHERE form_type IN ('8-K', 'XX')")
+_FORM_CASE = "CASE form_type " + " ".join(f"WHEN '{form}' THEN '{said}'" for form, said in K.FILING_FORMS.items()) + " ELSE 'Other Filing' END"
+
+
+@query("landed_filings", ("fl",), f"SELECT cik, trim(company_name) AS company_name, form_type, trim(coalesce(filing_date, '')) AS filing_date, filename, {_FORM_CASE} AS form_description, 'https://www.sec.gov/Archives/' || filename AS filing_url FROM fl")
 def landed_filings(spark, d):
     """S3: a daily index for each partition, with lines before and after the header that are no records."""
     fields = F.concat_ws(" | ", F.col("cik"), F.col("company_name"), "form_type", F.coalesce("filing_date", F.lit("")), "filename")
     path = folder(spark, "filings")
-    B.filings(spark, d).where(F.col("form_type").isin("8-K", "XX")).select(fields.alias("CIK|Company Name|Form Type|Date Filed|Filename")).write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+    B.filings(spark, d).select(fields.alias("CIK|Company Name|Form Type|Date Filed|Filename")).write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
     return readers.filing_index(spark, path).select("cik", "company_name", "form_type", "filing_date", "filename", "form_description", "filing_url")
 
 
@@ -209,6 +213,14 @@ def saved_reports(spark, d):
     k = F.col("document_id")
     saved = B.reports(spark, d).select(k.alias("id"), F.when(F.pmod(k, F.lit(3)) > 0, F.array(F.lit("p"))).alias("papers"), F.when(F.pmod(k, F.lit(4)) > 0, F.struct(F.lit("a").alias("text"))).alias("analysis"))
     path = folder(spark, "saved-reports")
-    files = saved.groupBy(F.pmod("id", F.lit(8)).alias("bucket")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("id", "papers", "analysis"))), ",\n"), F.lit("]")).alias("value"))
-    files.write.partitionBy("bucket").text(path)  # each file is one list of reports over many lines
+    files = saved.groupBy(F.floor(F.col("id") / 1000).alias("bucket")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("id", "papers", "analysis"))), ",\n"), F.lit("]")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)  # each file is one list of up to 1,000 reports over many lines
     return readers.recent_reports(spark, path, "id long, papers array<string>, analysis struct<text:string>", "2020-01-01T00:00:00").select("id")
+
+
+@query("corpus_footprint", (), "SELECT round(sum(coalesce(strlen(text), 0) + 1) / 1048576, 2) AS megabytes FROM documents")
+def corpus_footprint(spark, d):
+    """What the texts take up as plain files."""
+    path = folder(spark, "plain-texts")
+    B.table(spark, d, "documents").select("text").write.text(path)
+    return readers.footprint(spark, path).select("megabytes")

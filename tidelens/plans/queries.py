@@ -269,10 +269,17 @@ _SERIES = ", s AS (SELECT keyword, CAST(ts AS DATE) AS day, count(*) AS n, row_n
 
 @query("keyword_trends", ("ev",), _SERIES + " SELECT f.keyword, days, CAST(total AS BIGINT) AS total, first_day, peak_day, round(v, 6) AS velocity, round(strength, 6) AS strength, CASE WHEN abs(v) < 0.1 THEN 'stable' WHEN v > 0.1 THEN 'emerging' WHEN v < -0.1 THEN 'declining' WHEN days > 3 AND std * std > 2 * mean THEN 'volatile' ELSE 'stable' END AS trend_type, n_papers FROM f JOIN (SELECT keyword, count(DISTINCT paper_id) AS n_papers FROM ev GROUP BY keyword) p ON p.keyword = f.keyword WHERE days >= 3 AND strength > 0.3")
 def keyword_trends(spark, d):
-    t = trends.keyword_trends(B.mentions(spark, d)).withColumn("n_papers", F.size("papers").cast("long")).drop("papers", "domains")
+    t = trends.keyword_trends(B.mentions(spark, d)).drop("domains")
     return _rounded(t)
 
 
+@query("trend_papers", ("ev",), _SERIES + " SELECT DISTINCT ev.keyword, paper_id FROM ev JOIN f ON f.keyword = ev.keyword WHERE days >= 3 AND strength > 0.3")
+def trend_papers(spark, d):
+    """The papers behind each signal."""
+    m = B.mentions(spark, d)
+    return trends.trend_papers(trends.keyword_trends(m), m)
+
+
 _DENSE = ", bd AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi, date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 AS len FROM ev), f AS (SELECT topic, CAST(ts AS DATE) AS day, count(*) AS n FROM ev GROUP BY ALL), z AS (SELECT topic, CAST(lo + CAST(i AS INTEGER) AS DATE) AS day, i FROM (SELECT DISTINCT topic FROM f), (SELECT lo, unnest(range(len)) AS i FROM bd)), dn AS (SELECT z.topic, z.day, z.i, coalesce(f.n, 0) AS n FROM z LEFT JOIN f ON f.topic = z.topic AND f.day = z.day)"
 
 
@@ -376,6 +383,13 @@ def research_connections(spark, d):
     return _rounded(out.select("domain_a", "domain_b", "bridges", "strength"))
 
 
+@query("bridge_papers", ("kw",), ", p AS (SELECT DISTINCT doc_id AS paper_id, substr(keyword, 1, 1) AS domain FROM kw) SELECT x.domain AS domain_a, y.domain AS domain_b, x.paper_id FROM p x JOIN p y ON x.paper_id = y.paper_id AND x.domain < y.domain")
+def bridge_papers(spark, d):
+    """The papers behind each connection."""
+    k = B.keywords(spark, d)
+    return correlate.bridge_papers(k.select(F.col("document_id").alias("paper_id"), F.left("keyword", F.lit(1)).alias("domain")))
+
+
 # Stored tables, reports, pages
 
 

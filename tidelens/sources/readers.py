@@ -39,11 +39,13 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
 def filing_index(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """S3: records of pipe-delimited daily indexes: the lines after each file's header that have five fields. A file without header has none.
 
-    A daily index is a small file, so each is read whole, and its header found there.
+    Files are read by line, so a large one is split over tasks. A line's place is its split's offset in the file and its number among the
+    task's rows, which grows along a split; lines with five fields are joined with the place of their file's first header.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"(?s)(?:^|\n)CIK\|Company Name\|[^\n]*\n(.*)", 1).alias("rest"))
-    f = F.transform(F.split("line", r"\|"), lambda x: F.trim(F.regexp_replace(x, r"\r$", "")))
-    rows = whole.select(F.explode(F.split("rest", "\n")).alias("line")).select(f.alias("f")).where(F.size("f") >= 5)
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("place"))
+    header = lines.where(F.col("value").startswith("CIK|Company Name|")).groupBy("file_path").agg(F.min("place").alias("header"))
+    f = F.transform(F.split("value", r"\|"), lambda x: F.trim(F.regexp_replace(x, r"\r$", "")))
+    rows = lines.select("file_path", "place", f.alias("f")).where(F.size("f") >= 5).join(header, "file_path").where(F.col("place") > F.col("header"))
     out = rows.select(*(F.col("f")[k].alias(c) for k, c in enumerate(("cik", "company_name", "form_type", "filing_date", "filename"))))
     out = out if form is None else out.where(F.col("form_type") == form)
     return form_lookup(out.withColumn("filing_url", F.concat(F.lit("https://www.sec.gov/Archives/"), "filename")))
