@@ -141,6 +141,19 @@ def test_enrichment(spark):
     assert m[1]["ratio"] == float("inf") and m[1]["success"] and m[2]["ratio"] == 1.0 and not m[2]["success"] and m[3]["enrichment_type"] == "pdf_extract"
 
 
+def test_page_elements_nest(spark):
+    words = "Some words of the page. " * 6
+    nested = f'<body><header><p class="byline">By <b>Ann</b> Lee</p></header><div class="lead content"><div><p>{words}</p></div><nav>menu<nav>deep</nav></nav><p>The end.</p></div><p>outside</p></body>'
+    open_ = f"<h1>Left <i>open<div id='content'>{words}<footer>gone"
+    dated = '<time datetime="2024-03-05">x</time><title>A page with &lt;time&gt;</title><span class="date">2020-01-01</span>'
+    rows = [("a", nested), ("b", open_), ("c", dated), ("d", None), ("e", "")]
+    got = {r["url"]: r for r in enrich.page_fields(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got["a"]["content"] == f"{words}The end." and got["a"]["author"] == "By Ann Lee"
+    assert got["b"]["content"] == words.strip() and got["b"]["title"].startswith("Left open Some words")
+    assert got["c"]["published_date"] == datetime(2024, 3, 5) and got["c"]["title"] == "A page with <time>"
+    assert got["d"]["content"] == got["e"]["content"] == "" and got["d"]["word_count"] == 0
+
+
 def test_rubric(spark):
     raw = ['{"research_quality_score": 7.5, "novel_contributions": ["a"]}', 'x ```json\n{"research_quality_score": 8 (Paper 1), "novel_contributions": ["b"],}\n``` y', 'no json', '"research_quality_score": 6, "novel_contributions": ["c", "d"] and {broken']
     got = rubric.parse_responses(spark.createDataFrame(list(enumerate(raw)), "response_id long, raw_response string")).orderBy("response_id").collect()

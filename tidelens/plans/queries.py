@@ -461,15 +461,61 @@ def host_stats(spark, d):
     return stats.host_stats(B.table(spark, d, "pages").select("url", F.contains("html", F.lit("</html>")).alias("success")))
 
 
-@query("page_fields")
+def _pattern(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _page_sql() -> str:
+    """Page fields from tokens: tags of one name are paired by their depth, in windows, and noise is blanked by its places."""
+    bare = "coalesce(html, '')"
+    for raw in ("<!--.*?-->", *(rf"(?i)<{n}\b.*?</{n}\s*>" for n in ("script", "style", "noscript"))):
+        bare = f"regexp_replace({bare}, '{raw}', ' ', 'gs')"
+    decoded = "x"
+    for name, value in [(n, v) for n, v in enrich._ENTITIES.items() if n != "&amp;"] + [("&amp;", "&")]:
+        decoded = f"replace({decoded}, '{name}', {_pattern(value)})"
+    decoded = f"trim(regexp_replace({decoded}, '[ \\t\\n\\f\\r]+', ' ', 'g'))"
+    text = lambda toks, a, b: decoded.replace("(x,", f"(array_to_string(list_transform({toks}[{a}:{b}], lambda y: CASE WHEN y[1] = '<' THEN ' ' ELSE y END), ''),", 1)
+    ones = enrich.TITLE + enrich.AUTHOR + enrich.DATE
+    first = ", ".join(f"arg_min(whole, i) FILTER (regexp_matches(t, {_pattern(p)})) AS one{k}" for k, p in enumerate(ones))
+    best = ", ".join(f"arg_max(kept, length(kept) * 1000000 - i) FILTER (regexp_matches(t, {_pattern(p)})) AS long{k}" for k, p in enumerate(enrich.CONTENT))
+    meta = lambda p: f"nullif(trim(regexp_extract(head, {_pattern(p)}, 1)), '')"
+    m = enrich._meta
+    one = [f"nullif(one{k}, '')" for k in range(len(ones))]
+    a, b = len(enrich.TITLE), len(enrich.TITLE) + len(enrich.AUTHOR)
+    over = lambda x: f"CASE WHEN length({x}) > 5 THEN {x} END"
+    title = ", ".join(over(x) for x in (*one[:a], meta(m("property", "og:title")), meta(m("name", "twitter:title"))))
+    author = ", ".join((*one[a : a + 3], meta(m("property", "article:author")), meta(m("name", "author")), *one[a + 3 : b]))
+    date = ", ".join((meta(m("property", "article:published_time")), meta(m("property", "datePublished")), meta(r'(?is)<time[^>]*datetime="([^"]*)"'), *one[b:]))
+    told = ", ".join(meta(m(k, v)) for k, v in (("name", "description"), ("property", "og:description"), ("name", "twitter:description")))
+    content = ", ".join(f"CASE WHEN length(long{k}) > 100 THEN long{k} END" for k in range(len(enrich.CONTENT)))
+    names = lambda found: ", ".join(f"'{n}'" for n in sorted(found))
+    clean = rf"trim(regexp_replace(regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '(?i)({K.WEB_BOILERPLATE})', '', 'g'), '(?i)({K.WEB_NAVIGATION})', '', 'g'))"
+    return rf"""WITH bare AS (SELECT page_id, url, {bare} AS h FROM pages), tok AS (SELECT page_id, url, array_to_string(regexp_extract_all(h, '(?i)<(?:meta|time)\b[^>]*>'), '') AS head, regexp_extract_all(h, '<[^>]*>|[^<]+') AS toks FROM bare),
+    tg AS (SELECT page_id, i, t, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, t[2] = '/' AS closing FROM (SELECT page_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM tok) WHERE t[1] = '<'),
+    lv AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) + closing::INT AS level FROM tg WHERE name <> '' AND name NOT IN ({names(enrich.VOID)}) AND NOT ends_with(t, '/>')),
+    el AS (SELECT *, lead(i) OVER (PARTITION BY page_id, name, level ORDER BY i) AS stop FROM lv), iv AS (SELECT page_id, list(struct_pack(a := i, b := stop)) AS iv FROM el WHERE NOT closing AND name IN ({names(enrich.NO_TEXT)}) GROUP BY page_id),
+    kt AS (SELECT tok.page_id, url, head, toks, list_transform(toks, lambda y, k: CASE WHEN len(list_filter(iv, lambda v: k >= v.a AND (v.b IS NULL OR k < v.b))) > 0 THEN '<' ELSE y END) AS kts FROM tok LEFT JOIN iv ON iv.page_id = tok.page_id),
+    ex AS (SELECT el.page_id, i, t, {text("toks", "i + 1", "coalesce(stop - 1, len(toks))")} AS whole, {text("kts", "i + 1", "coalesce(stop - 1, len(toks))")} AS kept, name FROM el JOIN kt ON kt.page_id = el.page_id WHERE NOT closing AND (name IN ('h1', 'title', 'article', 'main', 'body') OR regexp_matches(t, '(?i)\s(class|role|id|rel)='))),
+    fd AS (SELECT page_id, {first}, {best}, arg_min(kept, i) FILTER (name = 'body') AS body FROM ex GROUP BY page_id),
+    pf AS (SELECT kt.page_id, url, coalesce({title}) AS title, coalesce({author}) AS author, coalesce({date}) AS day, coalesce({told}) AS description, coalesce({content}, body, {text("kts", "1", "len(kts)")}) AS content FROM kt LEFT JOIN fd ON fd.page_id = kt.page_id),
+    fields AS (SELECT page_id, url, title, author, CAST(coalesce(try_strptime(day, '%Y-%m-%dT%H:%M:%S%z'), try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%Y-%m-%dT%H:%M:%S')) AS TIMESTAMP) AS published_date, description, content, {clean} AS clean_text FROM pf)"""
+
+
+_PAGE_SQL = _page_sql()
+
+
+@query("page_fields", sql=_PAGE_SQL + " SELECT * EXCLUDE (page_id), len(list_filter(string_split(clean_text, ' '), lambda w: w <> '')) AS word_count FROM fields")
 def page_fields(spark, d):
-    return enrich.page_fields(B.table(spark, d, "pages"))
+    """E4-E7, X4."""
+    return _rounded(enrich.page_fields(B.table(spark, d, "pages")))
 
 
-@query("enrichment_stats")
+@query("enrichment_stats", sql=_PAGE_SQL + """, u AS (SELECT url, max(clean_text) AS clean_text FROM fields GROUP BY url), e AS (SELECT length(clean_text) > 200 AS ok, CASE WHEN ends_with(lower(url), '.pdf') THEN 'pdf_extract' ELSE 'web_scrape' END AS kind, (length(html) + 28 + length(clean_text)) / length(html) AS ratio FROM pages JOIN u USING (url))
+    SELECT count(*) AS total, count(*) FILTER (ok AND kind = 'pdf_extract') AS pdf_success, count(*) FILTER (ok AND kind = 'web_scrape') AS web_success, count(*) FILTER (NOT ok) AS failures, round(coalesce(avg(ratio) FILTER (ok), 1.0), 6) AS avg_ratio, round(coalesce(max(ratio) FILTER (ok), 1.0), 6) AS max_ratio, round(avg(ok::DOUBLE), 6) AS success_rate FROM e""")
 def enrichment_stats(spark, d):
+    """Pages with over 200 code points of text are successes."""
     p = B.table(spark, d, "pages")
-    fields = enrich.page_fields(p).select("url", "clean_text").withColumn("success", F.char_length("clean_text") > 200).dropDuplicates(["url"])
+    fields = enrich.page_fields(p).groupBy("url").agg(F.max("clean_text").alias("clean_text")).withColumn("success", F.char_length("clean_text") > 200)
     c = p.select(F.col("page_id").alias("id"), "url", F.lit("web").alias("source_type"), F.col("html").alias("content"))
     return _rounded(stats.enrichment_stats(enrich.merge_pages(c, fields)))
 
