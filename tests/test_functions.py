@@ -2,6 +2,7 @@
 
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelens.functions import scalars as S
@@ -83,3 +84,17 @@ def test_domains(spark):
     assert one(spark, S.paper_domain("t", "a"), t="A vision model", a="image detection and text") == "computer_vision"
     assert one(spark, S.paper_domain("t", "a"), t="zzz", a="qq") == "general_ai"
     assert one(spark, S.iso_timestamp("t"), t="2024-01-02T03:04:05Z") == datetime(2024, 1, 2, 3, 4, 5)
+
+
+def test_clean_sentence_capitals_of_one_code_point(spark):
+    """As DuckDB's upper has them; Spark's gives SS, FI and ἈΙ."""
+    for text, want in (("ßheit", "ẞheit."), ("ﬁn", "ﬁn."), ("ᾀ b", "ᾈ b."), ("ᾈ", "ᾈ."), ("éa", "Éa."), ("ǆ", "Ǆ."), ("", ""), ("a.\u2028", "A.\u2028.")):
+        assert one(spark, S.clean_sentence("t"), t=text) == want
+
+
+def test_capital_is_that_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    wide = [c for c in range(1, 0x1E944) if len(chr(c).upper()) > 1 or c < 0x600 and c != 0x19B]  # that capital is newer than DuckDB's tables
+    want = dict(duckdb.connect().execute("SELECT c, upper(chr(c)) FROM (SELECT unnest(?::INT[]) AS c)", [wide]).fetchall())
+    got = spark.createDataFrame([(c, chr(c)) for c in wide], "c int, t string").select("c", S.capital("t").alias("u")).collect()
+    assert {r["c"]: (r["u"], want[r["c"]]) for r in got if r["u"] != want[r["c"]]} == {}
