@@ -141,6 +141,16 @@ def test_enrichment(spark):
     assert m[1]["ratio"] == float("inf") and m[1]["success"] and m[2]["ratio"] == 1.0 and not m[2]["success"] and m[3]["enrichment_type"] == "pdf_extract"
 
 
+def test_contents_stay_one_row_each(spark):
+    """Two fetched pages of one url, and two contents of it."""
+    c = spark.createDataFrame([(1, "u", "web", "ab"), (2, "u", "web", "cd"), (3, "v", "web", "ef")], "id long, url string, source_type string, content string")
+    pages = spark.createDataFrame([(1, "u", "old", True), (2, "u", "zz", False), (2, "u", "page", True), (3, "v", "", True), (3, "v", None, None)], "id long, url string, clean_text string, success boolean")
+    by_url = {r["id"]: r["enriched_content"] for r in enrich.merge_pages(c, pages, " ").collect()}
+    assert by_url == {1: "ab page", 2: "cd page", 3: "ef"} and enrich.merge_pages(c, pages).count() == 3
+    by_id = enrich.merge_pages(c, pages.drop("url"), " ", key="id").collect()
+    assert sorted((r["id"], r["enriched_content"], r["success"]) for r in by_id) == [(1, "ab old", True), (2, "cd page", True), (3, "ef", False)]
+
+
 def test_page_elements_nest(spark):
     words = "Some words of the page. " * 6
     nested = f'<body><header><p class="byline">By <b>Ann</b> Lee</p></header><div class="lead content"><div><p>{words}</p></div><nav>menu<nav>deep</nav></nav><p>The end.</p></div><p>outside</p></body>'

@@ -148,9 +148,14 @@ def page_fields(pages: DataFrame) -> DataFrame:
     return out.withColumn("word_count", F.size(F.filter(F.split("clean_text", " "), lambda w: w != "")))
 
 
-def merge_pages(contents: DataFrame, pages: DataFrame, separator: str = "\n\n--- Enriched Content ---\n\n") -> DataFrame:
-    """Contents joined to fetched pages (url, clean_text, success): text, lengths and ratio; a failure keeps the original."""
-    j = contents.join(pages.select("url", "clean_text", F.col("success").alias("fetched")), "url", "left")
+def merge_pages(contents: DataFrame, pages: DataFrame, separator: str = "\n\n--- Enriched Content ---\n\n", key: str = "url") -> DataFrame:
+    """Contents joined to fetched pages (url, clean_text, success): text, lengths and ratio; a failure keeps the original.
+
+    key: the column that tells a content's page, its url, or id where pages have one. A content stays one row: of pages of one key the successful one of the greatest text counts.
+    """
+    text = F.when(F.col("success"), F.nullif("clean_text", F.lit("")))
+    one = pages.groupBy(key).agg(F.max(text).alias("clean_text"))
+    j = contents.join(one.withColumn("fetched", F.col("clean_text").isNotNull()), key, "left")
     ok = F.coalesce("fetched", F.lit(False)) & (F.coalesce("clean_text", F.lit("")) != "")
     text = F.when(ok, F.concat("content", F.lit(separator), "clean_text")).otherwise(F.col("content"))
     n = F.char_length("content")
@@ -158,12 +163,12 @@ def merge_pages(contents: DataFrame, pages: DataFrame, separator: str = "\n\n---
     return j.select("id", "url", "source_type", text.alias("enriched_content"), n.alias("original_length"), F.char_length(text).alias("enriched_length"), ratio.alias("ratio"), ok.alias("success"), strategy("url").alias("enrichment_type"))
 
 
-def enrichment_cycle(contents: DataFrame, enriched: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
+def enrichment_cycle(contents: DataFrame, enriched: DataFrame, pages: DataFrame, most: int | None = None, key: str = "url") -> DataFrame:
     """Contents (id, url, source_type, content, collected_at) that have no row in ``enriched`` (id) yet, the newest first up to ``most``, enriched from fetched pages.
 
-    pages: url, clean_text, success, as ``page_fields`` gives them. What failed has a row too, so it is not tried again.
+    pages: url (or another ``key`` of contents), clean_text, success, as ``page_fields`` gives them. What failed has a row too, so it is not tried again.
     """
     waiting = contents.join(enriched.select("id"), "id", "left_anti")
     if most is not None:
         waiting = waiting.orderBy(F.desc("collected_at"), "id").limit(most)
-    return merge_pages(waiting, pages)
+    return merge_pages(waiting, pages, key=key)
