@@ -226,3 +226,23 @@ def test_papers_behind_trends_and_connections(spark):
     assert {tuple(r) for r in correlate.bridge_papers(p).collect()} == {("a", "b", 1), ("a", "b", 2), ("b", "c", 3)}
     (row,) = correlate.research_connections(p, k).collect()
     assert (row["bridges"], row["shared_keywords"], row["strength"]) == (2, [f"w{i:02d}" for i in range(10)], 2 / 3)
+
+
+def test_terms_are_counted_inside_their_documents(spark):
+    """Ranks as counting by hand gives them, of a word that comes 30,000 times as well, and nothing but the table's own dealing is shuffled or sorted."""
+    from collections import Counter
+
+    texts = ["alpha beta alpha gamma beta alpha", "", None, "zeta " * 30_000 + "yota yota yotas", " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}xx" for k in range(300)), "x1 the of ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    for ranked, grams, top in ((analysis.frequency_keywords(docs), (1,), 10), (analysis.tfidf_keywords(docs), (1, 2, 3), 100)):
+        got = ranked.collect()
+        for d, text in enumerate(texts):
+            words = [w for w in (text or "").split() if w.isalpha() and w not in ("the", "of") and len(w) > (3 if len(grams) == 1 else 1)]
+            terms = Counter(" ".join(words[i : i + k]) for k in grams for i in range(len(words) - k + 1))
+            want = sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:top]
+            name, n = ("keyword", "frequency") if len(grams) == 1 else ("term", "n")
+            assert [(r[name], r[n]) for r in got if r["document_id"] == d] == want
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Sort", "Aggregate"))
+    counts = {(r["document_id"], r["term"]): r["n"] for r in analysis.term_counts(docs).collect()}
+    assert counts[3, "zeta"] == 30_000 and counts[0, "alpha"] == 3 and len(counts) == 3 + 3 + 300 + 1
