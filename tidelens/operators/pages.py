@@ -28,7 +28,7 @@ def analysis_report(mentions: DataFrame, elements: DataFrame, topics: DataFrame,
     parts = [
         _top(_section(trends.keyword_trends(mentions, as_of, days), "keyword_trend", "keyword", "strength"), 10),
         _top(_section(trends.emerging_topics(mentions, F.date_sub(end, 3 * days), end), "emerging_topic", "topic", "emergence_score"), 5),
-        _top(_section(correlate.paper_pairs(elements), "pair", F.concat_ws("-", "paper_a", "paper_b"), "score"), 5),
+        _top(_section(correlate.top_pairs(elements, 5, by_name=True), "pair", F.concat_ws("-", "paper_a", "paper_b"), "score"), 5),
         _top(_section(correlate.topic_clusters(topics, own), "cluster", "cluster", "coherence"), 3),
         _section(stats.top_keywords(keywords, 15), "keyword", "keyword", "document_count"),
     ]
