@@ -246,3 +246,19 @@ def test_terms_are_counted_inside_their_documents(spark):
         assert not any(x in plan for x in ("Exchange", "Window", "Sort", "Aggregate"))
     counts = {(r["document_id"], r["term"]): r["n"] for r in analysis.term_counts(docs).collect()}
     assert counts[3, "zeta"] == 30_000 and counts[0, "alpha"] == 3 and len(counts) == 3 + 3 + 300 + 1
+
+
+def test_analysis_shuffles_nothing(spark):
+    text = "Alpha beta. Beta beta! Gamma? The. Delta alpha. Beta gamma gamma. Epsilon."
+    docs = spark.createDataFrame([(1, text, "x"), (2, "...  ! a. b. c. d. e. 1.", "y"), (3, None, "z")], "document_id long, text string, path string")
+    out = analysis.analyze(docs, also=("path",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = {r["path"]: r for r in out.collect()}
+    # The weight of a term rises with its number: beta 4 times, gamma 3, alpha 2; "The." has no content word.
+    assert got["x"]["summary"] == "Alpha beta. Beta beta! Gamma? Delta alpha. Beta gamma gamma."
+    assert got["x"]["topics"] == ["alpha beta", "beta beta", "beta gamma", "alpha beta beta", "beta beta beta"]
+    assert (got["y"]["polarity"], got["y"]["sentiment_label"], got["y"]["neutral_sentences"]) == (0.0, "neutral", 8) and got["z"]["keywords"] is None and got["z"]["entities"] is None
+    lexicon = spark.createDataFrame([("alpha", 0.5, 0.25), ("beta", -1.0, 1.0)], "word string, polarity double, subjectivity double")
+    own = {r["document_id"]: r for r in analysis.analyze(docs, lexicon).collect()}
+    assert own[1]["polarity"] == pytest.approx((2 * 0.5 - 4) / 6) and own[1]["summary"] == got["x"]["summary"] and own[3]["sentiment_label"] == "neutral"
