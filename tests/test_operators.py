@@ -262,3 +262,22 @@ def test_analysis_shuffles_nothing(spark):
     lexicon = spark.createDataFrame([("alpha", 0.5, 0.25), ("beta", -1.0, 1.0)], "word string, polarity double, subjectivity double")
     own = {r["document_id"]: r for r in analysis.analyze(docs, lexicon).collect()}
     assert own[1]["polarity"] == pytest.approx((2 * 0.5 - 4) / 6) and own[1]["summary"] == got["x"]["summary"] and own[3]["sentiment_label"] == "neutral"
+
+
+def test_pairs_meet_in_blocks_and_are_not_shuffled(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    papers = {p: {"keyword": {"hot", *rng.sample("abcdefgh", rng.randrange(0, 4))}, "entity": set(rng.sample("xyz", rng.randrange(0, 3))), "topic": {rng.choice("12")}} for p in range(40)}
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x & y else 0.0
+    score = lambda p, q: sum(w * jaccard(papers[p][k], papers[q][k]) for k, w in correlate.KINDS.items())
+    want = {(p, q) for p in papers for q in range(p + 1, 40) if score(p, q) >= 0.3 - 1e-12}
+    rows = [(p, kind, x) for p, kinds in papers.items() for kind, own in kinds.items() for x in own]
+    elements = spark.createDataFrame([*rows, (None, "topic", "1")], "paper_id long, kind string, element string")
+    monkeypatch.setattr(correlate, "BLOCK", 3)
+    for parts in ((1e-6,), (6.0, 1.0)):
+        monkeypatch.setattr(correlate, "PARTS", (*parts, 1.0) if len(parts) == 1 else parts)
+        pairs = correlate.paper_pairs(elements)
+        got = [(r["paper_a"], r["paper_b"]) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert "hashpartitioning(paper_a" not in pairs._jdf.queryExecution().executedPlan().toString()
