@@ -281,3 +281,12 @@ def test_pairs_meet_in_blocks_and_are_not_shuffled(spark, monkeypatch):
         got = [(r["paper_a"], r["paper_b"]) for r in pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert "hashpartitioning(paper_a" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_source_overlap_ranks_shared_keywords_and_gathers_only_those_shown(spark):
+    rows = [(s, f"k{k:04d}") for s, n in (("x", 900), ("y", 700), ("z", 3)) for k in range(n)] + [("x", "k0001"), (None, "k0002"), ("w", "alone")]
+    out = stats.source_overlap(spark.createDataFrame(rows, "source_type string, keyword string"), 4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    first = [f"k{k:04d}" for k in range(4)]
+    assert sorted(map(tuple, out.collect())) == [("x", "y", 700, first), ("x", "z", 3, first[:3]), ("y", "z", 3, first[:3])]
+    assert "collect_set" not in plan and "collect_list(struct(rank" in plan

@@ -179,9 +179,12 @@ def new_keywords(mentions: DataFrame) -> DataFrame:
 def source_overlap(keywords: DataFrame, shown: int = 5) -> DataFrame:
     """Keywords that two sources share: their number and the first few. keywords: source_type, keyword."""
     k = keywords.select("source_type", "keyword").distinct()
-    a, b = k.alias("a"), k.alias("b")
-    joined = a.join(b, (F.col("a.keyword") == F.col("b.keyword")) & (F.col("a.source_type") < F.col("b.source_type")))
-    return joined.groupBy(F.col("a.source_type").alias("source_a"), F.col("b.source_type").alias("source_b")).agg(F.count("*").alias("n_shared"), F.slice(F.array_sort(F.collect_set("a.keyword")), 1, shown).alias("shared"))
+    pair = ["source_a", "source_b"]
+    a, b = k.select(F.col("source_type").alias("source_a"), "keyword"), k.select(F.col("source_type").alias("source_b"), "keyword")
+    joined = a.join(b, "keyword").where("source_a < source_b")
+    # Ranked, not gathered: two sources may share any number of keywords.
+    few = top_per_group(joined, pair, [F.asc("keyword")], shown).groupBy(pair).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("shared"))
+    return joined.groupBy(pair).agg(F.count("*").alias("n_shared")).join(few, pair)
 
 
 def executive_summary(contents: DataFrame, analyses: DataFrame) -> DataFrame:
