@@ -1,5 +1,6 @@
 """Operators on hand-computed frames, one at least per trap."""
 
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -290,3 +291,23 @@ def test_source_overlap_ranks_shared_keywords_and_gathers_only_those_shown(spark
     first = [f"k{k:04d}" for k in range(4)]
     assert sorted(map(tuple, out.collect())) == [("x", "y", 700, first), ("x", "z", 3, first[:3]), ("y", "z", 3, first[:3])]
     assert "collect_set" not in plan and "collect_list(struct(rank" in plan
+
+
+def test_many_small_files(spark, tmp_path):
+    """Forty folders of a file each are written without checksum files, and listed by a few tasks, not by one for each."""
+    path, sc = str(tmp_path / "texts"), spark.sparkContext
+    rows = [(k, f"text {k} {n}") for k in range(40) for n in range(2)]
+    sinks.write_files(spark.createDataFrame(rows, "file long, value string").repartition("file").sortWithinPartitions("file", "value"), "file://" + path, "file")
+    found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f != "_SUCCESS"]
+    assert len(found) == 40 and all(f.endswith(".txt") for f in found)
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    sc.setJobGroup("files", "files")
+    try:
+        docs = analysis.analyze_files(spark, "file://" + path)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("files")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(sc.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds) <= 4 * sc.defaultParallelism
+    assert spark.conf.get(setting) == before
+    assert sorted((int(r["path"].split("file=")[1].split("/")[0]), r["word_count"]) for r in docs.select("path", "word_count").collect()) == [(k, 6) for k in range(40)]
